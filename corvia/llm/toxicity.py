@@ -59,34 +59,57 @@ def bucket(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8")) % BUCKETS
 
 
-def find_marks(docs: list[tuple[set[str], int]], least: int = 4, purity: float = 0.02) -> list[str]:
-    """Features by greedy covering; docs: (distinct normalised words, label)."""
-    in_toxic: dict[str, set[int]] = defaultdict(set)
-    for d, (words, label) in enumerate(docs):
-        if label:
-            for f in {f for w in words for f in features(w)}:
-                in_toxic[f].add(d)
-    in_toxic = {f: ds for f, ds in in_toxic.items() if len(ds) >= least}
-    clean: Counter = Counter()
+def _signature(words: set[str]) -> tuple[int, ...]:
+    """Equal for near copies as a rule, different for other documents."""
+    return tuple(sorted(zlib.crc32(w.encode("utf-8")) for w in words if len(w) > 5)[:4])
+
+
+def find_marks(docs: list[tuple[set[str], int]], least: int = 4, purity: float = 0.003) -> set[str]:
+    """Features of toxic tokens; docs: (distinct normalised words, label).
+
+    Near copies count once, so that the rare words of a copied document don't
+    seem to be common among toxic ones.
+    """
+    seen, toxic, plain = set(), [], []
     for words, label in docs:
-        if not label:
-            clean.update({f for w in words for f in features(w)} & in_toxic.keys())
-    n_clean = max(1, sum(1 for _, label in docs if not label))
-    n_toxic = max(1, len(docs) - n_clean)
+        key = (label, _signature(words) or tuple(sorted(words)))
+        if key not in seen:
+            seen.add(key)
+            (toxic if label else plain).append(words)
+    held: dict[str, list[str]] = {}
+
+    def of(words):
+        out: set[str] = set()
+        for w in words:
+            if w not in held:
+                held[w] = features(w)
+            out.update(held[w])
+        return out
+
+    found: dict[str, set[int]] = defaultdict(set)
+    for d, words in enumerate(toxic):
+        for f in of(words):
+            found[f].add(d)
+    found = {f: ds for f, ds in found.items() if len(ds) >= least}
+    clean: Counter = Counter()
+    for words in plain:
+        clean.update(of(words) & found.keys())
     # a feature of plain text is as common in either class
-    pure = {f: ds for f, ds in in_toxic.items() if clean[f] / n_clean <= purity * len(ds) / n_toxic}
-    marks, left = [], set().union(*pure.values()) if pure else set()
-    while left:
-        # of equal cover, the feature seen in most documents, then the longer, then by name
-        f = max(pure, key=lambda k: (len(pure[k] & left), len(pure[k]), len(k), k))
-        if len(pure[f] & left) < least:
+    limit = purity * max(1, len(plain)) / max(1, len(toxic))
+    pure = {f: ds for f, ds in found.items() if clean[f] <= limit * len(ds)}
+    strong = max(2 * least, len(toxic) // 100)
+    marks = {f for f, ds in pure.items() if f[0] == "=" and len(ds) >= strong}
+    left = set().union(*pure.values()) if pure else set()
+    while pure:
+        cover = {f: len(ds & left) for f, ds in pure.items()}
+        most = max(cover.values())
+        if most < least:
             break
-        marks.append(f)
+        # of those that explain nearly as much as the best, the longest
+        f = max((f for f, n in cover.items() if n >= 0.97 * most), key=lambda k: (len(k), cover[k], k))
+        marks.add(f)
         left -= pure[f]
-        del pure[f]
-        pure = {k: v for k, v in pure.items() if len(v & left) >= least}
-        if not pure:
-            break
+        pure = {k: v for k, v in pure.items() if cover[k] >= least and k != f}
     return marks
 
 
@@ -179,7 +202,7 @@ def sentence_ends(tokens: list[str]) -> np.ndarray:
     return np.fromiter((t[-1] in ".!?" for t in tokens), bool, len(tokens))
 
 
-def fit_chain(token_docs: list[tuple[list[str], np.ndarray]], rounds: int = 40, rate: float = 0.5, l2: float = 1e-4) -> Crf:
+def fit_chain(token_docs: list[tuple[list[str], np.ndarray]], rounds: int = 30, rate: float = 0.5, l2: float = 1e-4) -> Crf:
     """token_docs: (tokens, 0/1 labels), each a sequence."""
     words = list(dict.fromkeys(normal(t) for ts, _ in token_docs for t in ts))
     number = {w: k for k, w in enumerate(words)}
@@ -232,12 +255,12 @@ def fit_curve(top: np.ndarray, mass: np.ndarray, label: np.ndarray, rounds: int
     return tuple(float(v) for v in w)
 
 
-def train(rows: list[tuple[str, int]], negative_sequences: int = 6_000) -> Crf | None:
+def train(rows: list[tuple[str, int]], most_sequences: int = 5_000) -> Crf | None:
     """rows: (text, label). None if a class is missing."""
     if not any(y for _, y in rows) or all(y for _, y in rows):
         return None
     token_rows = [(tokens_of(t), y) for t, y in rows]
-    marks = set(find_marks([({normal(t) for t in ts}, y) for ts, y in token_rows]))
+    marks = find_marks([({normal(t) for t in ts} - {""}, y) for ts, y in token_rows])
     known: dict[str, bool] = {}
 
     def marked(token):
@@ -261,17 +284,18 @@ def train(rows: list[tuple[str, int]], negative_sequences: int = 6_000) -> Crf |
     if not with_marks:
         return None
     rng = np.random.default_rng(7)
-    if len(without) > negative_sequences:
-        without = [without[k] for k in rng.choice(len(without), negative_sequences, replace=False)]
-    if len(with_marks) > negative_sequences:
-        with_marks = [with_marks[k] for k in rng.choice(len(with_marks), negative_sequences, replace=False)]
+    if len(without) > most_sequences:
+        without = [without[k] for k in rng.choice(len(without), most_sequences, replace=False)]
+    if len(with_marks) > most_sequences:
+        with_marks = [with_marks[k] for k in rng.choice(len(with_marks), most_sequences, replace=False)]
     model = fit_chain(with_marks + without)
     tops, masses = [], []
     scorer = Scorer(model)
-    for ts, _ in token_rows:
-        m = scorer.token_marginals(pa.array([" ".join(ts)]))[0]
-        tops.append(m.max() if len(m) else 0.0)
-        masses.append(m[m > 0.1].sum() if len(m) else 0.0)
+    for block in range(0, len(token_rows), 500):
+        m, bounds = scorer.token_marginals(pa.array([" ".join(ts) for ts, _ in token_rows[block : block + 500]], pa.string()))
+        own = [m[b:e] for b, e in zip(bounds[:-1], bounds[1:])]
+        tops += [x.max() if len(x) else 0.0 for x in own]
+        masses += [x[x > 0.1].sum() if len(x) else 0.0 for x in own]
     model.curve = fit_curve(np.array(tops), np.array(masses), np.array([y for _, y in token_rows], float))
     return model
 
