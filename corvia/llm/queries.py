@@ -83,3 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": op10_quality_rules,
         "language_id_pages": language_id_pages,
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
