@@ -38,12 +38,11 @@ SAMPLE_PER_LANGUAGE = 1_500
 GRAMS = (1, 2, 3)
 #: Share of the summed n-gram evidence that counts: n-grams overlap.
 TEMPER = 0.25
-#: Evidence of a text is limited to this many nats between languages, so that
-#: other evidence can matter where words of two languages are mixed.
 LETTERS = re.compile(r"[^\W\d_]")
 HOST_STRENGTH, DOMAIN_STRENGTH = 5.0, 20.0
-#: Declared tags and suffixes that name a language (ISO 639-1) as they stand.
-THRESHOLD = 0.5
+
+#: Least posterior of the best language: what is hardly better than chance is rejected.
+THRESHOLD = 0.3
 
 
 @dataclass

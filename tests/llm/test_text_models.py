@@ -1,0 +1,198 @@
+import itertools
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from corvia.llm import language_id, quality_rules, toxicity
+
+
+# ---- toxicity -------------------------------------------------------------------
+
+
+def test_forward_backward_against_all_labelings():
+    rng = np.random.default_rng(0)
+    lengths = np.array([1, 4, 6, 3])
+    begins = np.cumsum(lengths) - lengths
+    score, trans, start = rng.normal(size=14), rng.normal(size=(2, 2)), 0.3
+    got, expected, log_z = toxicity.forward_backward(score, begins, lengths, trans, start, pairs=True)
+    want, pairs, total = np.zeros(14), np.zeros((2, 2)), 0.0
+    for b, n in zip(begins, lengths):
+        weights, marks, steps = [], [], []
+        for y in itertools.product((0, 1), repeat=int(n)):
+            w = start * y[0] + sum(score[b + k] * y[k] for k in range(n)) + sum(trans[y[k], y[k + 1]] for k in range(n - 1))
+            weights.append(np.exp(w))
+            marks.append(y)
+            steps.append([(y[k], y[k + 1]) for k in range(n - 1)])
+        z = sum(weights)
+        total += np.log(z)
+        for w, y, st_ in zip(weights, marks, steps):
+            want[b : b + n] += w / z * np.array(y)
+            for a, c in st_:
+                pairs[a, c] += w / z
+    assert np.allclose(got, want) and np.allclose(expected, pairs) and np.isclose(log_z, total)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 600), st.data())
+def test_sequences_cover_all_tokens(n, data):
+    ends = np.array(data.draw(st.lists(st.booleans(), min_size=n, max_size=n)), bool)
+    if data.draw(st.booleans()):
+        ends[:] = False
+    b, length = toxicity.sequences(n, ends)
+    assert length.sum() == n and (not n or (length.max() <= toxicity.MAX_SEQUENCE and length.min() > 0))
+    assert np.array_equal(b, np.cumsum(length) - length)
+
+
+@pytest.fixture(scope="module")
+def trained():
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}{c}" for a in ("ba", "ko", "mi", "ru", "te") for b in ("lan", "dor", "fis", "pel") for c in ("", "o", "en", "ish")]
+    rows = []
+    for k in range(400):
+        ws = rng.choice(words, 60).tolist()
+        bad = k % 4 == 0
+        if bad:
+            for at in rng.choice(60, 3, replace=False):
+                ws[at] = rng.choice(["vilescum", "grotling", "grotter"])
+        ws = [w + "." if j % 12 == 11 else w for j, w in enumerate(ws)]
+        rows.append((" ".join(ws), int(bad)))
+    return toxicity.train(rows[:300]), rows[300:]
+
+
+def test_toxic_documents_and_spans(trained):
+    model, rows = trained
+    of = toxicity._score_batches(model, True)
+    scores, spans = of(pa.array([t for t, _ in rows]))
+    assert all((s >= toxicity.THRESHOLD) == bool(y) for s, (_, y) in zip(scores, rows))
+    for (t, y), own in zip(rows, spans):
+        found = {t[s["start"] : s["end"]].strip(".") for s in own}
+        assert bool(found) == bool(y)
+        for f in found:
+            assert set(f.replace(".", "").split()) <= {"vilescum", "grotling", "grotter"}
+
+
+def test_toxicity_query_parts(spark, odd_docs, no_docs, trained):
+    got = toxicity.score(odd_docs, trained[0]).collect()
+    assert len(got) == odd_docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    for r in got:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    assert toxicity.score(no_docs, trained[0]).count() == 0
+    assert all(r["score"] == 0 for r in toxicity.score(odd_docs, None).collect())
+    kept = toxicity.reject(odd_docs, trained[0])
+    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
+
+
+def test_labels_with_holes(spark, odd_docs):
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(odd_docs, empty) is None
+    some = spark.createDataFrame([(None, 1, 1), (1, 1, None), (6, 1, 1), (6, 0, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    toxicity.fit(odd_docs, some)
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    rows = scored.join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").select("toxic", "predicted", "lang").collect()
+    clean = [r for r in rows if not r["toxic"]]
+    english = [r for r in rows if r["toxic"] and r["lang"] == "en"]
+    assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
+    assert sum(r["predicted"] for r in english) >= 0.85 * len(english)
+
+
+# ---- quality --------------------------------------------------------------------
+
+
+def brute_statistics(text):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+    inside = {k + d for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for d in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(list("ab \n\t\r\x0b é#|😀")), max_size=60)), min_size=1, max_size=6))
+def test_statistics_against_brute_force(texts):
+    got = quality_rules.batch_statistics(pa.array([t or "" for t in texts], pa.string()))
+    for k, t in enumerate(texts):
+        assert tuple(int(x[k]) for x in got[:5]) == brute_statistics(t)
+
+
+def test_quality_of_all_documents(spark, sf_dir, documents, odd_docs, no_docs):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    stats = quality_rules.text_statistics(documents)
+    rules = quality_rules.fit(stats, labels)
+    got = quality_rules.judge(stats, rules)
+    for r, d in zip(got.orderBy("doc_id").collect(), documents.orderBy("doc_id").collect()):
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_statistics(d["text"])
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+    wrong = got.join(labels, "doc_id").where("not base_failed and kept <> (quality = 1)").count()
+    assert wrong <= 0.1 * labels.count()
+    odd = quality_rules.judge(quality_rules.text_statistics(odd_docs), rules)
+    assert odd.count() == odd_docs.count()
+    assert quality_rules.judge(quality_rules.text_statistics(no_docs), rules).count() == 0
+    assert quality_rules.fit(stats, labels.limit(0)) == []
+
+
+def test_rules_find_conjunctions():
+    rng = np.random.default_rng(2)
+    x = {"a": rng.random(3000), "b": rng.random(3000), "c": rng.random(3000)}
+    bad = ((x["a"] > 0.8) & (x["b"] < 0.3)) | (x["c"] > 0.95)
+    rules = quality_rules.learn(x, bad)
+    covered = np.zeros(3000, bool)
+    for r in rules:
+        covered |= r.covers(x)
+    assert (covered == bad).mean() > 0.98 and quality_rules.learn(x, np.zeros(3000, bool)) == []
+
+
+# ---- language -------------------------------------------------------------------
+
+
+def test_languages(spark, sf_dir, documents, odd_docs, no_docs):
+    model = language_id.fit(documents)
+    got = language_id.identify_documents(documents, model)
+    same = got.join(documents.select("doc_id", "lang").withColumnRenamed("lang", "label"), "doc_id")
+    assert same.where("lang <> label").count() <= 0.02 * documents.count()
+    assert got.where("not accepted and evidence > 20").count() == 0
+    odd = {(r["doc_id"], r["evidence"]): r for r in language_id.identify_documents(odd_docs, model).collect()}
+    assert odd[2, 0]["lang"] == "und" and not odd[2, 0]["accepted"] and not odd[4, 0]["accepted"]
+    assert language_id.identify_documents(no_docs, model).count() == 0
+    kept = language_id.accepted_documents(odd_docs, model)
+    assert kept.columns == odd_docs.columns
+    texts = {r["text"] for r in kept.collect()}
+    assert None not in texts and "" not in texts and "negative id" in texts
+    assert language_id.fit(no_docs).langs == ["und"]
+
+
+def test_pages_use_markup_and_address(spark, sf_dir, documents):
+    model = language_id.fit(documents)
+    html = "<html lang='{}'><body>{}</body></html>"
+    rows = [(k, f"http://h{k % 3}.example.com/{'fr' if k % 2 else 'en'}/{k}", html.format("fr" if k % 2 else "en", t)) for k, (t,) in enumerate(documents.where("lang = 'en'").select("text").limit(30).collect())]
+    rows += [(100, "http://h1.example.com/fr/1", html.format("fr", "")), (101, None, None), (102, "http://x.example.com/zz", "<html><body>12</body></html>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in language_id.identify_pages(pages, model).collect()}
+    assert len(got) == len(rows)
+    assert sum(got[k]["lang"] == "en" for k in range(30)) >= 29  # text outweighs wrong tags
+    assert got[100]["declared"] == "fr" and got[100]["evidence"] == 0 and got[100]["lang"] != "und"
+    assert got[101]["lang"] == "und" and not got[101]["accepted"] and not got[102]["accepted"]
+
+
+def test_host_priors_are_smoothed(spark):
+    """Against the two Dirichlet steps by hand."""
+    rows = [("a.x.com", [0.0, -50.0]), ("a.x.com", [0.0, -50.0]), ("b.x.com", [-50.0, 0.0]), ("c.y.org", [-50.0, 0.0])]
+    ev = spark.createDataFrame([(h, None, None, ll, 5) for h, ll in rows], "host string, declared string, suffix string, ll array<double>, evidence long")
+    tables = language_id.priors(ev, ["p", "q"])
+    got = {r["host"]: np.exp(r["log_prior"]) for r in tables["host"].collect()}
+    whole = np.array([3, 3]) / 6
+    domain = (np.array([2, 1]) + 20 * whole) / 23
+    assert np.allclose(got["a.x.com"], (np.array([2, 0]) + 5 * domain) / 7)
+    assert np.allclose(got["b.x.com"], (np.array([0, 1]) + 5 * domain) / 6)
