@@ -85,5 +85,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: A SHA-1 in hex is eight groups of five digits, each four base32 letters.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_LETTER = "substr('" + _BASE32 + "', CAST(((v // {0}) % 32) + 1 AS INT), 1)"
+
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS top, sha1(h) AS hex FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(list_transform(range(0, 8), lambda i: CAST('0x' || substr(hex, CAST(5 * i + 1 AS INT), 5) AS BIGINT)),
+           lambda v: {" || ".join(_LETTER.format(1 << s) for s in (15, 10, 5, 0))}), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM d
+"""
+
+OP7_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>') + length(role) + 1 + length(text) + length('<|im_end|>') + 1
+           + len(regexp_extract_all(text, '<\|\\*(im_start\|>|im_end\|>)'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others learn a model, tokenise or hash as no SQL function does; tests
+    hold them against brute-force versions."""
+    return {"op7_chat_format": OP7_SQL, "op9_warc": OP9_SQL}
