@@ -31,6 +31,7 @@ from .token_shards import _file_system
 
 GAP = 64 << 10  # bytes between ranges that are still read at once
 RANGE = 8 << 20  # largest coalesced read
+TASK_BYTES = 64 << 20  # of records for each reading task
 PREFIX = "urn:page:"
 EOL = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -204,8 +205,11 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
                         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(schema.names, kinds)], names=schema.names)
                 begin = end
 
-    # neighbours in a file meet in one task, and a large file's records are shared by several
-    chosen = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # neighbours in a file meet in one task, and a large file's records are shared by
+    # several: tasks by the bytes to be read, not by those of the index
+    chosen = index.select("file", "offset", "length")
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    chosen = chosen.repartitionByRange(-(-total // TASK_BYTES) or 1, "file", "offset").sortWithinPartitions("file", "offset")
     return chosen.mapInArrow(read, schema)
 
 
