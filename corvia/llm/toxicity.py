@@ -25,8 +25,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,10 @@ from pyspark.sql import DataFrame
 from ._common import F, T, map_batches, strings
 
 #: Labelled documents of each class that training reads at most.
-SAMPLE_PER_CLASS = 2_000
+SAMPLE_PER_CLASS = 1_500
 MAX_SEQUENCE = 128
 BUCKETS = 1 << 17
+MARK_SLOTS = 1 << 21
 GRAMS = (4, 5, 6)
 THRESHOLD = 0.3
 TOKEN = re.compile(r"[^ \n]+")
@@ -52,7 +54,7 @@ def normal(token: str) -> str:
 def features(word: str) -> list[str]:
     """Of a normalised word: itself and its n-grams, with the word's bounds."""
     w = f"<{word}>"
-    return ["=" + word, *{w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}]
+    return ["=" + word, *dict.fromkeys(w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))]
 
 
 def bucket(feature: str) -> int:
@@ -64,39 +66,48 @@ def _signature(words: set[str]) -> tuple[int, ...]:
     return tuple(sorted(zlib.crc32(w.encode("utf-8")) for w in words if len(w) > 5)[:4])
 
 
-def find_marks(docs: list[tuple[set[str], int]], least: int = 4, purity: float = 0.003) -> set[str]:
-    """Features of toxic tokens; docs: (distinct normalised words, label).
+def _words(text: str) -> set[str]:
+    return {normal(t) for t in set(tokens_of(text))} - {""}
+
+
+@lru_cache(maxsize=20_000)
+def _slots(word: str) -> tuple[int, ...]:
+    return tuple(zlib.crc32(f.encode("utf-8")) & (MARK_SLOTS - 1) for f in features(word))
+
+
+def find_marks(rows: list[tuple[str, int]], least: int = 4, purity: float = 0.003) -> set[str]:
+    """Features of toxic tokens; rows: (text, label).
 
     Near copies count once, so that the rare words of a copied document don't
-    seem to be common among toxic ones.
+    seem to be common among toxic ones. Documents are counted in hashed slots
+    first; only features in slots that toxic documents have nearly for themselves
+    are then held by name.
     """
-    seen, toxic, plain = set(), [], []
-    for words, label in docs:
+    seen: set = set()
+    toxic, plain = [], []
+    for text, label in rows:
+        words = _words(text)
         key = (label, _signature(words) or tuple(sorted(words)))
         if key not in seen:
             seen.add(key)
-            (toxic if label else plain).append(words)
-    held: dict[str, list[str]] = {}
-
-    def of(words):
-        out: set[str] = set()
-        for w in words:
-            if w not in held:
-                held[w] = features(w)
-            out.update(held[w])
-        return out
-
-    found: dict[str, set[int]] = defaultdict(set)
-    for d, words in enumerate(toxic):
-        for f in of(words):
-            found[f].add(d)
-    found = {f: ds for f, ds in found.items() if len(ds) >= least}
-    clean: Counter = Counter()
-    for words in plain:
-        clean.update(of(words) & found.keys())
+            (toxic if label else plain).append(text)
+    if not toxic:
+        return set()
+    counts = np.zeros((2, MARK_SLOTS), np.int32)
+    for label, texts in ((0, plain), (1, toxic)):
+        for text in texts:
+            own = {h for w in _words(text) for h in _slots(w)}
+            counts[label, np.fromiter(own, np.int64, len(own))] += 1
     # a feature of plain text is as common in either class
-    limit = purity * max(1, len(plain)) / max(1, len(toxic))
-    pure = {f: ds for f, ds in found.items() if clean[f] <= limit * len(ds)}
+    limit = purity * max(1, len(plain)) / len(toxic)
+    good = (counts[1] >= least) & (counts[0] <= limit * counts[1])
+    found: dict[str, set[int]] = defaultdict(set)
+    for d, text in enumerate(toxic):
+        for w in _words(text):
+            for f, h in zip(features(w), _slots(w)):
+                if good[h]:
+                    found[f].add(d)
+    pure = {f: ds for f, ds in found.items() if len(ds) >= least}
     strong = max(2 * least, len(toxic) // 100)
     marks = {f for f, ds in pure.items() if f[0] == "=" and len(ds) >= strong}
     left = set().union(*pure.values()) if pure else set()
@@ -206,9 +217,9 @@ def fit_chain(token_docs: list[tuple[list[str], np.ndarray]], rounds: int = 30,
     """token_docs: (tokens, 0/1 labels), each a sequence."""
     words = list(dict.fromkeys(normal(t) for ts, _ in token_docs for t in ts))
     number = {w: k for k, w in enumerate(words)}
-    feats = [[bucket(f) for f in features(w)] if w else [] for w in words]
+    feats = [np.array([bucket(f) for f in features(w)] if w else [], np.int32) for w in words]
     size = np.fromiter(map(len, feats), np.int64, len(feats))
-    flat = np.fromiter((b for f in feats for b in f), np.int64, int(size.sum()))
+    flat = np.concatenate(feats).astype(np.int64)
     owner = np.repeat(np.arange(len(words)), size)
     tok = np.fromiter((number[normal(t)] for ts, _ in token_docs for t in ts), np.int64)
     gold = np.concatenate([y for _, y in token_docs]).astype(np.float64)
@@ -259,18 +270,21 @@ def train(rows: list[tuple[str, int]], most_sequences: int = 5_000) -> Crf | Non
     """rows: (text, label). None if a class is missing."""
     if not any(y for _, y in rows) or all(y for _, y in rows):
         return None
-    token_rows = [(tokens_of(t), y) for t, y in rows]
-    marks = find_marks([({normal(t) for t in ts} - {""}, y) for ts, y in token_rows])
+    marks = find_marks(rows)
     known: dict[str, bool] = {}
 
     def marked(token):
         w = normal(token)
         if w not in known:
+            if len(known) > 100_000:
+                known.clear()
             known[w] = not marks.isdisjoint(features(w)) if w else False
         return known[w]
 
+    rng = np.random.default_rng(7)
     with_marks, without = [], []
-    for ts, y in token_rows:
+    for text, y in rows:
+        ts = tokens_of(text)
         if not ts:
             continue
         begins, lengths = sequences(len(ts), sentence_ends(ts))
@@ -279,11 +293,10 @@ def train(rows: list[tuple[str, int]], most_sequences: int = 5_000) -> Crf | Non
             own = flags[b : b + n]
             if own.any():
                 with_marks.append((ts[b : b + n], own))
-            elif not y:
+            elif not y and rng.random() < 0.25:
                 without.append((ts[b : b + n], own))
     if not with_marks:
         return None
-    rng = np.random.default_rng(7)
     if len(without) > most_sequences:
         without = [without[k] for k in rng.choice(len(without), most_sequences, replace=False)]
     if len(with_marks) > most_sequences:
@@ -291,12 +304,12 @@ def train(rows: list[tuple[str, int]], most_sequences: int = 5_000) -> Crf | Non
     model = fit_chain(with_marks + without)
     tops, masses = [], []
     scorer = Scorer(model)
-    for block in range(0, len(token_rows), 500):
-        m, bounds = scorer.token_marginals(pa.array([" ".join(ts) for ts, _ in token_rows[block : block + 500]], pa.string()))
+    for block in range(0, len(rows), 200):
+        m, bounds = scorer.token_marginals(pa.array([t for t, _ in rows[block : block + 200]], pa.string()))
         own = [m[b:e] for b, e in zip(bounds[:-1], bounds[1:])]
         tops += [x.max() if len(x) else 0.0 for x in own]
         masses += [x[x > 0.1].sum() if len(x) else 0.0 for x in own]
-    model.curve = fit_curve(np.array(tops), np.array(masses), np.array([y for _, y in token_rows], float))
+    model.curve = fit_curve(np.array(tops), np.array(masses), np.array([y for _, y in rows], float))
     return model
 
 
