@@ -116,7 +116,7 @@ def ego_motion(points: DataFrame, geometry: DataFrame | None = None) -> DataFram
 
 def smooth_routes(geometry: DataFrame, motion: DataFrame) -> DataFrame:
     """The filtered route of every frame, from raw routes and motion."""
-    from ..operators.frames import GEOMETRY, _geometry_row, geometry_of
+    from ..operators.frames import GEOMETRY, _geometry_row, geometry_frame, geometry_of
 
     k = ["recording", "frame_idx"]
     rows = geometry.join(motion.select(*k, "yaw_rad", "forward_m", "lateral_m"), k, "left")
@@ -134,7 +134,7 @@ def smooth_routes(geometry: DataFrame, motion: DataFrame) -> DataFrame:
                 if g is not None:
                     new["status"] = "TEMPORALLY_ESTIMATED"
                 out.append(new)
-            yield pd.DataFrame(out, columns=GEOMETRY.names)
+            yield geometry_frame(out)
 
     return rows.repartition("recording").sortWithinPartitions("recording", "frame_idx").mapInPandas(run, GEOMETRY)
 
