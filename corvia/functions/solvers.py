@@ -139,7 +139,8 @@ def spline_basis(knots: np.ndarray, degree: int, x: np.ndarray, derivative: int
             a, b = t[i + degree] - t[i], t[i + degree + 1] - t[i + 1]
             out[:, i] = degree * ((low[:, i] / a if a > 0 else 0) - (low[:, i + 1] / b if b > 0 else 0))
         return out
-    span = np.clip(np.searchsorted(t, x, side="right") - 1, degree, n - 1)
+    real = np.flatnonzero(np.diff(t) > 0)  # spans of some length: also where end knots repeat more often
+    span = np.clip(np.searchsorted(t, x, side="right") - 1, real[0], real[-1])
     out = np.zeros((len(x), len(t) - 1))
     out[np.arange(len(x)), span] = 1.0
     for d in range(1, degree + 1):
