@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from ._common import F, T, fresh, map_batches, segment_sum, stored, strings
 
 #: Labelled texts of each language that fitting reads at most.
-SAMPLE_PER_LANGUAGE = 1_500
+SAMPLE_PER_LANGUAGE = 1_000
 GRAMS = (1, 2, 3)
 #: Share of the summed n-gram evidence that counts: n-grams overlap.
 TEMPER = 0.25
@@ -63,16 +63,22 @@ class NgramModel:
 
 def fit_ngrams(rows: list[tuple[str, str]], least: int = 3) -> NgramModel:
     """rows: (text, lang)."""
-    counts: dict[str, Counter] = {}
+    words: dict[str, Counter] = {}
     for text, lang in rows:
-        own = counts.setdefault(lang, Counter())
-        for word, k in Counter(text.split()).items():
-            core = "".join(LETTERS.findall(word.lower()))
+        words.setdefault(lang, Counter()).update(text.lower().split())
+    counts: dict[str, Counter] = {}
+    for lang, seen in words.items():
+        cores: Counter = Counter()
+        for word, k in seen.items():
+            core = "".join(LETTERS.findall(word))
             if core:
-                w = f"<{core}>"
-                for n in GRAMS:
-                    for i in range(len(w) - n + 1):
-                        own[w[i : i + n]] += k
+                cores[core] += k
+        own = counts[lang] = Counter()
+        for core, k in cores.items():
+            w = f"<{core}>"
+            for n in GRAMS:
+                for i in range(len(w) - n + 1):
+                    own[w[i : i + n]] += k
     langs = sorted(counts)
     total = Counter()
     for c in counts.values():
