@@ -52,12 +52,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def map_batches(df: DataFrame, schema: T.StructType, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]) -> DataFrame:
     """mapInArrow with large batches cut to about SLICE_BYTES."""
 
@@ -118,4 +112,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["F", "T", "drop_path", "fresh", "map_batches", "segment_sum", "shared_dir", "sliced", "stored", "strings", "table", "utf8_view"]
+__all__ = ["F", "T", "fresh", "map_batches", "segment_sum", "shared_dir", "sliced", "stored", "strings", "table", "utf8_view"]

@@ -142,7 +142,8 @@ def pack(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str =
         return spark.read.schema(BIN).parquet(f"{base}/{name}")
 
     rounds = [saved(narrow.mapInArrow(first, BIN), "0")]
-    width = max(1, narrow.rdd.getNumPartitions())
+    # partitions of round 0 that sent underfull bins, by the bins' numbers
+    width = (rounds[0].where(~F.col("full")).agg(F.max(F.shiftright("sequence_id", 28))).first()[0] or 0) + 1
     while True:
         width = -(-width // FAN_IN)
         rest = rounds[-1].where(~F.col("full")).repartition(width)
