@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import aggregation as A
+from ..operators import groups as G
 from ..operators import joins as J
 from ..operators import projection as P
 from ..operators import ranking as R
@@ -606,6 +607,65 @@ def _decision(spark, sf):
     return d.select(*P.K, "status", "path_clear", *six("distance_m"), "confidence", "reasons")
 
 
+# ---- groups -------------------------------------------------------------------
+
+
+@query(
+    "gauge_class",
+    f"""{CLOUD_CTE}, {_MEMBERS}, d AS (SELECT DISTINCT recording, frame_idx, group_id, station, "offset", height, CASE WHEN height >= 0 THEN greatest(abs("offset") - 1.15, height - 2.4) END AS gap FROM m)
+    SELECT recording, frame_idx, group_id, count(*) FILTER (WHERE gap < -0.10 - 1e-8) AS deep, CASE WHEN count(*) FILTER (WHERE gap < -0.10 - 1e-8) >= 3 THEN 'inside' WHEN min(gap) <= 0.30 + 1e-8 THEN 'borderline' ELSE 'outside' END AS relation FROM d GROUP BY recording, frame_idx, group_id""",
+)
+def _gauge_class(spark, sf):
+    return G.gauge_class(_members(spark, sf))
+
+
+_BLOCKS = "m AS (SELECT *, CAST(floor(station / 0.25) AS BIGINT) AS group_id FROM local)"
+
+
+@query(
+    "upright_faces",
+    f"""{CLOUD_CTE}, {_BLOCKS}, s AS (SELECT recording, frame_idx, group_id, max("offset") - min("offset") AS w, max(station) - min(station) AS d, count(DISTINCT (station, "offset", height)) AS n FROM m GROUP BY ALL),
+    k AS (SELECT recording, frame_idx, group_id, CAST(floor("offset" / 0.5) AS BIGINT) AS col, max(height) - min(height) AS tall FROM m GROUP BY ALL), g AS (SELECT * FROM k WHERE tall >= 0.4 AND abs((col + 0.5) * 0.5) <= 1.5),
+    f AS (SELECT DISTINCT p.recording, p.frame_idx, p.group_id FROM g p JOIN g q ON p.recording = q.recording AND p.frame_idx = q.frame_idx AND p.group_id = q.group_id AND q.col = p.col + 1 JOIN g r ON p.recording = r.recording AND p.frame_idx = r.frame_idx AND p.group_id = r.group_id AND r.col = p.col + 2)
+    SELECT s.recording, s.frame_idx, s.group_id FROM s JOIN f ON s.recording = f.recording AND s.frame_idx = f.frame_idx AND s.group_id = f.group_id WHERE w >= 0.6 AND d <= 0.25 * w + 0.05 AND n >= 6""",
+)
+def _upright(spark, sf):
+    m = local(spark, sf).withColumn("group_id", F.floor(F.col("station") / 0.25).cast("long"))
+    return G.upright_faces(m, column=0.5, reach=1.5, unique=6)
+
+
+@query(
+    "without_retired",
+    f"""{CLOUD_CTE}, t AS (SELECT DISTINCT recording, ring AS id FROM cloud), l AS (SELECT DISTINCT recording, ring AS id FROM cloud WHERE z > 1.95) SELECT recording, id FROM t WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.recording = t.recording AND l.id = t.id)""",
+)
+def _retired(spark, sf):
+    c = fixtures.cloud(spark, sf)
+    return R.without_retired(c.select("recording", F.col("ring").alias("id")).distinct(), c.where("z > 1.95").select("recording", F.col("ring").alias("id")).distinct())
+
+
+@query(
+    "promotable",
+    f"""{CLOUD_CTE}, {_MEMBERS}, r AS (SELECT recording, frame_idx, group_id, max(height) >= 1.9 AS clipped, count(*) % 2 = 0 AS flat FROM m GROUP BY ALL) SELECT recording, frame_idx, group_id, NOT clipped AS promotable FROM r""",
+)
+def _promotable(spark, sf):
+    g = _members(spark, sf).groupBy(*P.K, "group_id").agg((F.max("height") >= 1.9).alias("clipped"), (F.count(F.lit(1)) % 2 == 0).alias("flat"))
+    g = g.withColumn("reasons", F.array_compact(F.array(F.when(F.col("clipped"), "clipped"), F.when(F.col("flat"), "flat"))))
+    return R.promotable(g, ["clipped", "edged"]).select(*P.K, "group_id", "promotable")
+
+
+@query(
+    "strict_json",
+    f"""{CLOUD_CTE}, r AS (SELECT recording, frame_idx, count(*) AS n_points, CASE WHEN frame_idx % 4 <> 0 THEN max(z) END AS top, frame_idx % 2 = 0 AS path_clear FROM cloud GROUP BY recording, frame_idx)
+    SELECT recording, frame_idx, '{{"recording":"' || recording || '","frame_idx":' || frame_idx || ',"n_points":' || n_points || ',"top":' || coalesce(CAST(top AS VARCHAR), 'null') || ',"path_clear":' || path_clear || '}}' AS value FROM r""",
+)
+def _json(spark, sf):
+    from ..sources.recordings import result_json
+
+    top = F.when(F.col("frame_idx") % 4 == 0, F.lit(float("nan"))).otherwise(F.max("z"))
+    r = fixtures.cloud(spark, sf).groupBy(*P.K).agg(F.count(F.lit(1)).alias("n_points"), top.alias("top"), (F.col("frame_idx") % 2 == 0).alias("path_clear"))
+    return result_json(r)
+
+
 def queries() -> dict[str, Query]:
     from . import more
 
