@@ -32,12 +32,13 @@ def band_pairs(station: np.ndarray, offset: np.ndarray, height: np.ndarray, late
     """Pairs of rows within reach along and each other's gates, from one sort by station."""
     order = np.argsort(station, kind="stable")
     s = station[order]
-    upto = np.searchsorted(s, s + reach, side="right")
+    upto = np.searchsorted(s, s + reach + 1e-9, side="right")  # the exact condition follows
     n = upto - np.arange(len(s)) - 1
     i = np.repeat(np.arange(len(s)), n)
     j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
     i, j = order[i], order[j]
-    ok = (np.abs(offset[i] - offset[j]) <= np.maximum(lateral[i], lateral[j])) & (np.abs(height[i] - height[j]) <= np.maximum(vertical[i], vertical[j]))
+    ok = np.abs(station[i] - station[j]) <= reach
+    ok &= (np.abs(offset[i] - offset[j]) <= np.maximum(lateral[i], lateral[j])) & (np.abs(height[i] - height[j]) <= np.maximum(vertical[i], vertical[j]))
     return i[ok], j[ok]
 
 

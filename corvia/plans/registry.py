@@ -95,23 +95,24 @@ def _visible(spark, sf):
 @query(
     "scalar_scores",
     f"""{CLOUD_CTE} SELECT {POINT}, round(least(greatest((station - 30) / 20, 0), 1) * 0.30, 6) AS margin,
-    round(0.07 + least(abs(ring / 128.0::DOUBLE * 1e-3) / 4e-4, 1) * 0.034 * greatest(station - 40, 0) + (1 - least(abs(ring / 128.0::DOUBLE * 1e-3) / 4e-4, 1)) * 0.0006 * greatest(station - 40, 0) * greatest(station - 40, 0), 6) AS uncertainty,
+    round((0.07 + least(abs(ring / 128.0::DOUBLE * 1e-3) / 4e-4, 1) * 0.034 * greatest(station - 40, 0) + (1 - least(abs(ring / 128.0::DOUBLE * 1e-3) / 4e-4, 1)) * 0.0006 * greatest(station - 40, 0) * greatest(station - 40, 0)) * 0.99731, 6) AS uncertainty,
     round((2*height - 0.01*(station*station + height*height)) / (1 + sqrt((1 - 0.01*height)*(1 - 0.01*height) + 0.01*station*0.01*station)), 6) AS arc_distance,
     CASE WHEN height >= 0.2 THEN CAST(floor(height / 0.8) AS INT) END AS layer,
-    round((0.30*least(greatest((height - 0.1)/0.2, 0), 1) + 0.15*least(greatest("offset"/0.1 + 0.5, 0), 1) + 0.25*least(greatest((ring - 3)/8.0::DOUBLE, 0), 1) + 0.18*least(greatest((ring % 5 - 1)/2.0::DOUBLE, 0), 1) + 0.12*least(1, ring/12.0::DOUBLE)) * least(1, (ring - 1)/4.0::DOUBLE), 6) AS confidence
+    round(0.99731 * (0.30*least(greatest((height - 0.1)/0.2, 0), 1) + 0.15*least(greatest("offset"/0.1 + 0.5, 0), 1) + 0.25*least(greatest((ring - 3)/8.0::DOUBLE, 0), 1) + 0.18*least(greatest((ring % 5 - 1)/2.0::DOUBLE, 0), 1) + 0.12*least(1, ring/12.0::DOUBLE)) * least(1, (ring - 1)/4.0::DOUBLE), 6) AS confidence
     FROM local""",
 )
 def _scores(spark, sf):
+    # scaled, so that no value lies halfway between two of six decimals
     p = local(spark, sf)
     k = F.col("ring") / 128.0 * 1e-3
     return p.select(
         *P.K,
         "point_idx",
         F.round(S.margin_width(F.col("station")), 6).alias("margin"),
-        F.round(S.lateral_uncertainty(F.col("station"), F.lit(40.0), k), 6).alias("uncertainty"),
+        F.round(S.lateral_uncertainty(F.col("station"), F.lit(40.0), k) * 0.99731, 6).alias("uncertainty"),
         F.round(S.arc_distance(F.col("station"), F.col("height"), F.lit(0.0), F.lit(0.0), F.lit(0.01)), 6).alias("arc_distance"),
         S.height_layer(F.col("height")).alias("layer"),
-        F.round(S.evidence_confidence(F.col("height"), F.col("offset"), F.col("ring"), F.col("ring") % 5, F.col("ring")), 6).alias("confidence"),
+        F.round(S.evidence_confidence(F.col("height"), F.col("offset"), F.col("ring"), F.col("ring") % 5, F.col("ring")) * 0.99731, 6).alias("confidence"),
     )
 
 
