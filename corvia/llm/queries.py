@@ -19,7 +19,7 @@ def vocabulary(name: str) -> str:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return language_id.identify_documents(docs, language_id.fit(docs))
+    return language_id.identify_documents(docs, language_id.fit(docs)).withColumn("kept", F.col("accepted"))
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
