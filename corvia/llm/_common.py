@@ -52,12 +52,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, schema: T.StructType, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]) -> DataFrame:
-    """mapInArrow with large batches cut to about SLICE_BYTES."""
+def map_batches(df: DataFrame, schema: T.StructType, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], limit: int = SLICE_BYTES) -> DataFrame:
+    """mapInArrow with large batches cut to about `limit` bytes."""
 
     def run(batches):
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, limit):
                 out = fn(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out

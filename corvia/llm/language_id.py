@@ -36,6 +36,8 @@ from ._common import F, T, fresh, map_batches, segment_sum, stored, strings
 #: Labelled texts of each language that fitting reads at most.
 SAMPLE_PER_LANGUAGE = 1_000
 GRAMS = (1, 2, 3)
+#: Text bytes handled at once: a word takes a row of numbers for all languages.
+SLICE = 4 << 20
 #: Share of the summed n-gram evidence that counts: n-grams overlap.
 TEMPER = 0.25
 LETTERS = re.compile(r"[^\W\d_]")
@@ -117,19 +119,22 @@ class TextEvidence:
         coded = values.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in distinct if w not in self.code]
-        if new:
-            grams = [self.model.word(w) for w in new]
+        values = [self.value]
+        letters = [self.letters]
+        for block in range(0, len(new), 8192):  # bounds the n-grams that are held at once
+            grams = [self.model.word(w) for w in new[block : block + 8192]]
             size = np.fromiter(map(len, grams), np.int64, len(grams))
             flat = np.fromiter((g for own in grams for g in own), np.int64, int(size.sum()))
-            bounds = np.concatenate(([0], np.cumsum(size)))
-            run = np.concatenate((np.zeros((1, len(self.model.langs))), np.cumsum(self.model.logp[flat], axis=0)))
+            owner = np.repeat(np.arange(len(grams)), size)
+            values.append(np.stack([np.bincount(owner, self.model.logp[flat, k], len(grams)) for k in range(len(self.model.langs))], axis=1))
+            letters.append(size > 0)
+        if new:
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
-            self.value = np.concatenate((self.value, run[bounds[1:]] - run[bounds[:-1]]))
-            self.letters = np.concatenate((self.letters, size > 0))
+            self.value, self.letters = np.concatenate(values), np.concatenate(letters)
         codes = np.fromiter((self.code[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
-        per = self.value[codes]
-        run = np.concatenate((np.zeros((1, per.shape[1])), np.cumsum(per, axis=0)))
-        return TEMPER * (run[offsets[1:]] - run[offsets[:-1]]), segment_sum(self.letters[codes], offsets)
+        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        sums = np.stack([np.bincount(owner, self.value[codes, k], len(texts)) for k in range(len(self.model.langs))], axis=1)
+        return TEMPER * sums, segment_sum(self.letters[codes], offsets)
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> NgramModel:
@@ -191,7 +196,7 @@ def text_evidence(rows: DataFrame, model: NgramModel, text: Column, keep: dict[s
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.reshape(-1)))
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], flat, pa.array(words.astype(np.int64))], names=schema.names)
 
-    return map_batches(narrow, schema, run)
+    return map_batches(narrow, schema, run, SLICE)
 
 
 def _posterior(logs: Column) -> Column:
@@ -297,6 +302,6 @@ def accepted_documents(docs: DataFrame, model: NgramModel, *, text_col: str = "t
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.reshape(-1)))
         return pa.RecordBatch.from_arrays([*batch.columns, flat, pa.array(words.astype(np.int64))], names=schema.names)
 
-    scored = map_batches(docs, schema, run)
+    scored = map_batches(docs, schema, run, SLICE)
     row = scored.select(F.struct(*docs.columns).alias("_row"), F.col(host_col).cast("string").alias("host"), null.alias("declared"), null.alias("suffix"), F.col(names[0]).alias("ll"), F.col(names[1]).alias("evidence"))
     return fuse(row, tables, model.langs).where("accepted").select("_row.*")
