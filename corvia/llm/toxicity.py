@@ -25,9 +25,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +38,9 @@ from ._common import F, T, map_batches, strings
 #: Labelled documents of each class that training reads at most.
 SAMPLE_PER_CLASS = 1_500
 MAX_SEQUENCE = 128
-BUCKETS = 1 << 17
-MARK_SLOTS = 1 << 21
+BUCKET_BITS = 17
+BUCKETS = 1 << BUCKET_BITS
+MARK_BITS = 21
 GRAMS = (4, 5, 6)
 THRESHOLD = 0.3
 TOKEN = re.compile(r"[^ \n]+")
@@ -48,7 +48,8 @@ EDGES = re.compile(r"^\W+|\W+$")
 
 
 def normal(token: str) -> str:
-    return EDGES.sub("", token.lower())
+    token = token.lower()
+    return token if token.isalnum() else EDGES.sub("", token)
 
 
 def features(word: str) -> list[str]:
@@ -57,8 +58,37 @@ def features(word: str) -> list[str]:
     return ["=" + word, *dict.fromkeys(w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1))]
 
 
-def bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8")) % BUCKETS
+def gram_hashes(words: list[str]) -> tuple[str, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """The words in a row, each in <>, and for each n-gram length the begins,
+    owners (word numbers) and 64-bit hashes of all n-grams inside a word."""
+    row = "".join([f"<{w}>" for w in words])
+    points = np.frombuffer(row.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
+    out = []
+    for n in GRAMS:
+        m = max(0, len(points) - n + 1)
+        at = np.flatnonzero(owner[:m] == owner[n - 1 : n - 1 + m])
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x100000001B3) + points[at + k]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        out.append((n, at, owner[at], h))
+    return row, out
+
+
+def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers, feature buckets) of all features of normalised words; empty
+    words have none."""
+    _, grams = gram_hashes(words)
+    whole = [(k, zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS) for k, w in enumerate(words) if w]
+    owner = [np.array([k for k, _ in whole], np.int64)]
+    where = [np.array([b for _, b in whole], np.int64)]
+    empty = np.fromiter((not w for w in words), bool, len(words))
+    for _, _, own, h in grams:
+        keep = ~empty[own]
+        owner.append(own[keep])
+        where.append((h[keep] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+    return np.concatenate(owner), np.concatenate(where)
 
 
 def _signature(words: set[str]) -> tuple[int, ...]:
@@ -70,9 +100,8 @@ def _words(text: str) -> set[str]:
     return {normal(t) for t in set(tokens_of(text))} - {""}
 
 
-@lru_cache(maxsize=20_000)
-def _slots(word: str) -> tuple[int, ...]:
-    return tuple(zlib.crc32(f.encode("utf-8")) & (MARK_SLOTS - 1) for f in features(word))
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - MARK_BITS)).astype(np.int64)
 
 
 def find_marks(rows: list[tuple[str, int]], least: int = 4, purity: float = 0.003) -> set[str]:
@@ -93,20 +122,30 @@ def find_marks(rows: list[tuple[str, int]], least: int = 4, purity: float = 0.00
             (toxic if label else plain).append(text)
     if not toxic:
         return set()
-    counts = np.zeros((2, MARK_SLOTS), np.int32)
+    counts = np.zeros((2, 1 << MARK_BITS), np.int32)
+    in_toxic = Counter(w for text in toxic for w in _words(text))
+    in_toxic = {w: n for w, n in in_toxic.items() if n >= least}
+    in_plain: Counter = Counter()
     for label, texts in ((0, plain), (1, toxic)):
         for text in texts:
-            own = {h for w in _words(text) for h in _slots(w)}
-            counts[label, np.fromiter(own, np.int64, len(own))] += 1
+            words = _words(text)
+            if not label:
+                in_plain.update(words & in_toxic.keys())
+            slots = np.unique(np.concatenate([_slots(h) for *_, h in gram_hashes(list(words))[1]]))
+            counts[label, slots] += 1
     # a feature of plain text is as common in either class
     limit = purity * max(1, len(plain)) / len(toxic)
     good = (counts[1] >= least) & (counts[0] <= limit * counts[1])
+    whole = {w for w, n in in_toxic.items() if in_plain[w] <= limit * n}
     found: dict[str, set[int]] = defaultdict(set)
     for d, text in enumerate(toxic):
-        for w in _words(text):
-            for f, h in zip(features(w), _slots(w)):
-                if good[h]:
-                    found[f].add(d)
+        words = _words(text)
+        for w in words & whole:
+            found["=" + w].add(d)
+        row, grams = gram_hashes(list(words))
+        for n, at, _, h in grams:
+            for k in at[good[_slots(h)]].tolist():
+                found[row[k : k + n]].add(d)
     pure = {f: ds for f, ds in found.items() if len(ds) >= least}
     strong = max(2 * least, len(toxic) // 100)
     marks = {f for f, ds in pure.items() if f[0] == "=" and len(ds) >= strong}
@@ -135,12 +174,13 @@ class Crf:
     curve: tuple[float, float, float]
 
     def emission(self, words: list[str]) -> np.ndarray:
-        out = np.empty(len(words), np.float32)
-        w = self.weights
-        for k, raw in enumerate(words):
-            word = normal(raw)
-            out[k] = self.bias + sum(w[bucket(f)] for f in features(word)) if word else -20.0
-        return np.clip(out, -20, 20)
+        out = np.full(len(words), -20.0)
+        for block in range(0, len(words), 8192):  # bounds the features that are held at once
+            own = [normal(w) for w in words[block : block + 8192]]
+            owner, where = buckets(own)
+            sums = self.bias + np.bincount(owner, self.weights[where], len(own))
+            out[block : block + len(own)] = np.where([bool(w) for w in own], sums, -20.0)
+        return np.clip(out, -20, 20).astype(np.float32)
 
     def document_scores(self, top: np.ndarray, mass: np.ndarray) -> np.ndarray:
         a, b, c = self.curve
@@ -217,10 +257,7 @@ def fit_chain(token_docs: list[tuple[list[str], np.ndarray]], rounds: int = 30,
     """token_docs: (tokens, 0/1 labels), each a sequence."""
     words = list(dict.fromkeys(normal(t) for ts, _ in token_docs for t in ts))
     number = {w: k for k, w in enumerate(words)}
-    feats = [np.array([bucket(f) for f in features(w)] if w else [], np.int32) for w in words]
-    size = np.fromiter(map(len, feats), np.int64, len(feats))
-    flat = np.concatenate(feats).astype(np.int64)
-    owner = np.repeat(np.arange(len(words)), size)
+    owner, flat = buckets(words)
     tok = np.fromiter((number[normal(t)] for ts, _ in token_docs for t in ts), np.int64)
     gold = np.concatenate([y for _, y in token_docs]).astype(np.float64)
     lengths = np.fromiter((len(ts) for ts, _ in token_docs), np.int64, len(token_docs))
