@@ -16,7 +16,9 @@ texts; everything else covers all rows.
 
 Defined results: null, empty and letterless texts have no text evidence; with no
 other evidence they get lang 'und' and are rejected, as is any row whose best
-posterior is under the threshold. A null host, address or markup gives no
+posterior is under the threshold. A text with more than UNKNOWN_SHARE of n-grams
+that no labelled language has is in none of them: it gets 'und', posterior 0, is
+rejected whatever its markup or host says, and counts for no prior. A null host, address or markup gives no
 evidence. Repeated rows are judged each; an empty table gives no rows.
 """
 
@@ -45,6 +47,9 @@ HOST_STRENGTH, DOMAIN_STRENGTH = 5.0, 20.0
 
 #: Least posterior of the best language: what is hardly better than chance is rejected.
 THRESHOLD = 0.3
+#: Largest share of unknown n-grams in a text of a known language. The posterior
+#: only compares languages; this judges the fit by itself.
+UNKNOWN_SHARE = 0.15
 
 
 @dataclass
@@ -106,10 +111,11 @@ class TextEvidence:
     def _start(self):
         self.code: dict[str, int] = {}
         self.value = np.zeros((0, len(self.model.langs)))
-        self.letters = np.zeros(0, bool)
+        self.grams = np.zeros((0, 2), np.int64)
 
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(tempered log likelihoods, texts x langs; words with letters)."""
+    def of(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """(tempered log likelihoods by language, null if the text is in none of them;
+        words with letters)."""
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         values = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
@@ -120,21 +126,24 @@ class TextEvidence:
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in distinct if w not in self.code]
         values = [self.value]
-        letters = [self.letters]
+        counts = [self.grams]  # n-grams, and those unknown
         for block in range(0, len(new), 8192):  # bounds the n-grams that are held at once
             grams = [self.model.word(w) for w in new[block : block + 8192]]
             size = np.fromiter(map(len, grams), np.int64, len(grams))
             flat = np.fromiter((g for own in grams for g in own), np.int64, int(size.sum()))
             owner = np.repeat(np.arange(len(grams)), size)
             values.append(np.stack([np.bincount(owner, self.model.logp[flat, k], len(grams)) for k in range(len(self.model.langs))], axis=1))
-            letters.append(size > 0)
+            counts.append(np.stack([size, np.bincount(owner, flat == 0, len(grams)).astype(np.int64)], axis=1))
         if new:
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
-            self.value, self.letters = np.concatenate(values), np.concatenate(letters)
+            self.value, self.grams = np.concatenate(values), np.concatenate(counts)
         codes = np.fromiter((self.code[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
         owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
         sums = np.stack([np.bincount(owner, self.value[codes, k], len(texts)) for k in range(len(self.model.langs))], axis=1)
-        return TEMPER * sums, segment_sum(self.letters[codes], offsets)
+        size, unknown = (segment_sum(self.grams[codes, k], offsets) for k in range(2))
+        foreign = bool(self.model.table) & (unknown > UNKNOWN_SHARE * size)
+        ll = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32()), pa.array(TEMPER * sums.reshape(-1)), mask=pa.array(foreign))
+        return ll, pa.array(segment_sum(self.grams[codes, 0] > 0, offsets).astype(np.int64))
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> NgramModel:
@@ -184,7 +193,7 @@ def html_text(html: Column) -> Column:
 
 
 def text_evidence(rows: DataFrame, model: NgramModel, text: Column, keep: dict[str, Column]) -> DataFrame:
-    """keep's columns, `ll` (array of log likelihoods) and `evidence` (words)."""
+    """keep's columns, `ll` (array of log likelihoods; null: no known language) and `evidence` (words)."""
     narrow = rows.select(*(c.alias(n) for n, c in keep.items()), text.cast("string").alias("_text_in"))
     schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("evidence", T.LongType())])
     held: list[TextEvidence] = []
@@ -193,8 +202,7 @@ def text_evidence(rows: DataFrame, model: NgramModel, text: Column, keep: dict[s
         if not held:
             held.append(TextEvidence(model))
         ll, words = held[0].of(strings(batch.column(batch.num_columns - 1)))
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.reshape(-1)))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], flat, pa.array(words.astype(np.int64))], names=schema.names)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], ll, words], names=schema.names)
 
     return map_batches(narrow, schema, run, SLICE)
 
@@ -215,7 +223,7 @@ def priors(ev: DataFrame, langs: list[str]) -> dict[str, DataFrame]:
     host, declared, suffix, ll, evidence): smoothed log priors by host, and log
     likelihoods of each declared tag and suffix."""
     n = len(langs)
-    soft = ev.where("evidence > 0").withColumn("p", _posterior(F.col("ll"))).withColumn("domain", parent_domain(F.col("host")))
+    soft = ev.where("evidence > 0 and ll is not null").withColumn("p", _posterior(F.col("ll"))).withColumn("domain", parent_domain(F.col("host")))
     by = soft.groupBy("domain", "host", "declared", "suffix").agg(*_sums(n, "p"))
     by = stored(by, "evidence-counts")
     arr = F.array(*(F.col(f"s{k}") for k in range(n)))
@@ -258,7 +266,7 @@ def fuse(ev: DataFrame, tables: dict, langs: list[str], threshold: float = THRES
         logs = F.zip_with(logs, F.coalesce(c, zero), lambda a, b: a + b)
     out = out.withColumn("_post", _posterior(logs))
     best = F.array_max("_post")
-    known = (F.col("evidence") > 0) | F.col("log_declared").isNotNull()
+    known = F.col("ll").isNotNull() & ((F.col("evidence") > 0) | F.col("log_declared").isNotNull())
     lang = F.array(*(F.lit(x) for x in langs))[F.array_position("_post", best).cast("int") - 1]
     out = out.withColumn("lang", F.when(known, lang).otherwise(F.lit("und"))).withColumn("posterior", F.when(known, best).otherwise(F.lit(0.0)))
     out = out.withColumn("accepted", known & (F.col("posterior") >= threshold))
@@ -299,8 +307,7 @@ def accepted_documents(docs: DataFrame, model: NgramModel, *, text_col: str = "t
         if not held:
             held.append(TextEvidence(model))
         ll, words = held[0].of(strings(batch.column(at)))
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.reshape(-1)))
-        return pa.RecordBatch.from_arrays([*batch.columns, flat, pa.array(words.astype(np.int64))], names=schema.names)
+        return pa.RecordBatch.from_arrays([*batch.columns, ll, words], names=schema.names)
 
     scored = map_batches(docs, schema, run, SLICE)
     row = scored.select(F.struct(*docs.columns).alias("_row"), F.col(host_col).cast("string").alias("host"), null.alias("declared"), null.alias("suffix"), F.col(names[0]).alias("ll"), F.col(names[1]).alias("evidence"))

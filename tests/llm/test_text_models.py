@@ -173,6 +173,30 @@ def test_languages(spark, sf_dir, documents, odd_docs, no_docs):
     assert language_id.fit(no_docs).langs == ["und"]
 
 
+FOREIGN = [
+    "Сегодня утром мы пошли на рынок и купили свежие овощи для супа",
+    "Η γρήγορη αλεπού πηδάει πάνω από το τεμπέλικο σκυλί",
+    "今天早上我们去市场买菜",
+    "Dzisiaj rano poszliśmy na rynek i kupiliśmy świeże warzywa na zupę",
+    "xkqz vbrtw pqlk zxcvb qwrtp ghjkl mnbvc",
+]
+
+
+def test_other_languages_and_gibberish_are_rejected(spark, documents):
+    model = language_id.fit(documents)
+    odd = spark.createDataFrame([(10**9 + k, t, None, "src0", len(t)) for k, t in enumerate(FOREIGN)], documents.schema)
+    got = language_id.identify_documents(documents.unionByName(odd), model)
+    wrong = got.where("doc_id >= 1000000000").collect()
+    assert len(wrong) == len(FOREIGN)
+    assert all(r["lang"] == "und" and r["posterior"] == 0 and not r["accepted"] and r["evidence"] > 0 for r in wrong)
+    assert got.where("doc_id < 1000000000 and evidence > 0 and not accepted").count() == 0
+    left = language_id.accepted_documents(documents.unionByName(odd), model)
+    assert left.where("doc_id >= 1000000000").count() == 0
+    # neither markup nor address makes it known
+    pages = spark.createDataFrame([(k, f"http://h.com/en/{k}", f"<html lang='en'><body>{t}</body></html>") for k, t in enumerate(FOREIGN)], "page_id long, url string, html string")
+    assert {r["lang"] for r in language_id.identify_pages(pages, model).collect()} == {"und"}
+
+
 def test_pages_use_markup_and_address(spark, sf_dir, documents):
     model = language_id.fit(documents)
     html = "<html lang='{}'><body>{}</body></html>"
