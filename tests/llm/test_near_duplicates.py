@@ -103,6 +103,19 @@ def test_chains_settle(spark):
     assert got == {k: 0 for k in range(n + 1)} | {1000: 1000, 1001: 1000}
 
 
+def test_chains_settle_in_any_order(spark, monkeypatch):
+    """Ascending ids with the smallest at the far end, random ids, reversed bits."""
+    n = 256
+    orders = [[*range(1, n), 0], random.Random(3).sample(range(n), n), [int(f"{k:08b}"[::-1], 2) for k in range(n)]]
+    rows = [(n * c + p, n * c + q) for c, ids in enumerate(orders) for p, q in zip(ids, ids[1:])]
+    written = []
+    keep = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, label: written.append(label) or keep(df, label))
+    got = {r["node"]: r["label"] for r in simhash.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {n * c + k: n * c for c in range(len(orders)) for k in range(n)}
+    assert written.count("labels") <= 20
+
+
 def test_one_document_of_each_group_stays(spark, documents, odd_docs):
     for docs in (documents, odd_docs):
         rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
