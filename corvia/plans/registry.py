@@ -1,7 +1,9 @@
 """Registered queries of the point-cloud operators, each with its SQL.
 
-Every query runs an operator over a whole table: the point cloud projected from
-lineitem, the frame sequence from events, or arrays from embeddings.
+Queries run an operator over a whole table: the point cloud projected from
+lineitem, the frame sequence from events, or arrays from embeddings. Only
+motion_score and wall_turn_direction keep to the samples that their SQL draws;
+the same name with _all runs over all points.
 """
 
 from __future__ import annotations
@@ -295,6 +297,19 @@ def _motion(spark, sf):
     return out.select(*P.K, *six("travel"), "points", "hits")
 
 
+@query(
+    "motion_score_all",
+    f"""{CLOUD_CTE}, occ AS (SELECT DISTINCT recording, frame_idx, floor(x / 0.1) AS vx, floor(y / 0.1) AS vy, floor(z / 0.1) AS vz FROM cloud WHERE -y BETWEEN 3 AND 40 AND abs(x) <= 6 AND z > -4 AND z < 5),
+    cand AS (SELECT unnest(range(-6, 91)) * 0.05::DOUBLE AS travel),
+    mv AS (SELECT recording, frame_idx + 1 AS frame_idx, travel, floor(x / 0.1) AS vx, floor((y + travel) / 0.1) AS vy, floor(z / 0.1) AS vz FROM cloud, cand)
+    SELECT recording, frame_idx, round(travel, 6) AS travel, count(*) AS points, count(o.hit) AS hits FROM mv LEFT JOIN (SELECT *, 1 AS hit FROM occ) o USING (recording, frame_idx, vx, vy, vz) GROUP BY recording, frame_idx, travel""",
+)
+def _motion_all(spark, sf):
+    p = fixtures.cloud(spark, sf)
+    cand = spark.range(-6, 91).select((F.col("id") * F.lit(0.05)).alias("travel"), F.lit(0.0).alias("tx"), (F.col("id") * F.lit(0.05)).alias("ty"), F.lit(0.0).alias("tz"))
+    return A.motion_score(p, A.near_voxels(p), cand).select(*P.K, *six("travel"), "points", "hits")
+
+
 @query("status_summary", f"{CLOUD_CTE}, f AS (SELECT recording, frame_idx, CASE WHEN max(height) > 1.9 THEN 'BLOCKED' WHEN count(*) % 2 = 0 THEN 'CAUTION' ELSE 'CLEAR' END AS status FROM local GROUP BY ALL) SELECT recording, status, count(*) AS frames, min(frame_idx) AS first_frame FROM f GROUP BY ALL")
 def _summary(spark, sf):
     f = local(spark, sf).groupBy(*P.K).agg(F.when(F.max("height") > 1.9, "BLOCKED").when(F.count(F.lit(1)) % 2 == 0, "CAUTION").otherwise("CLEAR").alias("status"))
@@ -524,6 +539,15 @@ def _wall_turn(spark, sf):
     return Wn.turn_direction(e, P.K)
 
 
+@query(
+    "wall_turn_direction_all",
+    f"""{CLOUD_CTE}, e AS (SELECT *, "offset" * 3 AS edge, station / max(station) OVER (PARTITION BY recording, frame_idx) AS r FROM local), m AS (SELECT recording, frame_idx, median(edge) FILTER (WHERE r >= 0.8) - median(edge) FILTER (WHERE r BETWEEN 0.4 AND 0.65) AS d FROM e GROUP BY ALL)
+    SELECT recording, frame_idx, CAST(CASE WHEN d > 1.2 THEN 1 WHEN d < -1.2 THEN -1 ELSE 0 END AS INT) AS direction FROM m""",
+)
+def _wall_turn_all(spark, sf):
+    return Wn.turn_direction(local(spark, sf).withColumn("edge", F.col("offset") * 3), P.K)
+
+
 # ---- order and sets -----------------------------------------------------------
 
 _OBST = """o AS (SELECT recording, frame_idx, CAST(floor(station / 2) AS BIGINT) AS group_id, median(station) AS station_m, min(range_m) AS range_m, CASE count(*) % 5 WHEN 0 THEN 'object' WHEN 1 THEN 'transient' WHEN 2 THEN 'unplaced' WHEN 3 THEN 'track_furniture' ELSE 'structure' END AS kind, CAST(count(*) % 11 AS DOUBLE) / 10 AS confidence FROM local GROUP BY recording, frame_idx, CAST(floor(station / 2) AS BIGINT))"""

@@ -40,6 +40,26 @@ def test_the_others_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_motion_is_scored_on_every_point(spark, sf_dir):
+    from corvia.plans import fixtures
+
+    n = fixtures.cloud(spark, sf_dir).count()
+    got = QUERIES["motion_score_all"](spark, sf_dir).groupBy("travel").sum("points").collect()
+    assert len(got) == 97 and {r["sum(points)"] for r in got} == {n}
+
+
+def test_walls_turn_by_every_point(spark, sf_dir):
+    import numpy as np
+
+    p = registry.local(spark, sf_dir).select("frame_idx", "station", "offset").toPandas()
+    want = {}
+    for f, g in p.groupby("frame_idx"):
+        r = g.station / g.station.max()
+        d = 3 * (np.median(g.offset[r >= 0.8]) - np.median(g.offset[(r >= 0.4) & (r <= 0.65)]))
+        want[f] = 1 if d > 1.2 else -1 if d < -1.2 else 0
+    assert {r["frame_idx"]: r["direction"] for r in QUERIES["wall_turn_direction_all"](spark, sf_dir).collect()} == want
+
+
 def test_order_and_partitions_dont_matter(spark, sf_dir):
     from corvia.operators import frames
     from corvia.plans import fixtures, more
