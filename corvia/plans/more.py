@@ -35,15 +35,23 @@ def corridor_membership(spark, sf):
     return r.select(*P.K, "point_idx", *(F.round(c, 6).alias(c) for c in ("station", "offset", "height")), "in_gauge")
 
 
-def proximity_components(spark, sf):
+def _roots(points: DataFrame) -> DataFrame:
     """Groups as each member's smallest member."""
     from pyspark.sql import Window as W
 
-    p = _local(spark, sf).where("height > 1.5")
-    g = Fr.grouped_components(p)
+    g = Fr.grouped_components(points)
     return g.select(*P.K, "point_idx", F.min("point_idx").over(W.partitionBy(*P.K, "group_id")).alias("root"))
 
 
+def proximity_components(spark, sf):
+    return _roots(_local(spark, sf).where("height > 1.5"))
+
+
+def proximity_components_all(spark, sf):
+    """Over all points; no SQL, as a recursive one is too slow for them."""
+    return _roots(_local(spark, sf))
+
+
 def travel_motion(spark, sf):
     p = _local(spark, sf)
     m = S.travel_motion(F.col("station") / 23, (F.col("ring") - 64) / 128.0 * 0.0103)
@@ -80,7 +88,7 @@ def track_and_gauge(spark, sf):
 def queries():
     return {
         f.__name__: f
-        for f in (corridor_membership, proximity_components, travel_motion, surface_points, detect_obstacles, raw_routes, ego_motion, track_and_gauge)
+        for f in (corridor_membership, proximity_components, proximity_components_all, travel_motion, surface_points, detect_obstacles, raw_routes, ego_motion, track_and_gauge)
     }
 
 

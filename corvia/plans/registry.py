@@ -1,9 +1,10 @@
 """Registered queries of the point-cloud operators, each with its SQL.
 
 Queries run an operator over a whole table: the point cloud projected from
-lineitem, the frame sequence from events, or arrays from embeddings. Only
-motion_score and wall_turn_direction keep to the samples that their SQL draws;
-the same name with _all runs over all points.
+lineitem, the frame sequence from events, or arrays from embeddings. Where a
+query's SQL draws a sample or a slice by height (motion_score,
+wall_turn_direction, proximity_components, grid_edges, seen_before,
+not_seen_before, chain_until_gap), the same name with _all runs over all points.
 """
 
 from __future__ import annotations
@@ -348,6 +349,15 @@ def _grid_edges(spark, sf):
     return J.grid_edges(local(spark, sf).where("height > 1.5"))
 
 
+@query(
+    "grid_edges_all",
+    f"""{CLOUD_CTE} SELECT a.recording, a.frame_idx, a.point_idx AS a, b.point_idx AS b FROM local a JOIN local b ON a.recording = b.recording AND a.frame_idx = b.frame_idx AND a.point_idx < b.point_idx
+    AND (a.station - b.station)*(a.station - b.station) + (a."offset" - b."offset")*(a."offset" - b."offset") <= 9 AND (a."offset" * b."offset" > 0 OR (abs(a."offset") < 0.6 AND abs(b."offset") < 0.6 AND abs(a."offset" - b."offset") < 0.5))""",
+)
+def _grid_edges_all(spark, sf):
+    return J.grid_edges(local(spark, sf))
+
+
 _SEEN = "EXISTS (SELECT 1 FROM old o WHERE o.recording = g.recording AND o.frame_idx = g.frame_idx - 1 AND o.station - g.station BETWEEN 0 AND 5 AND abs(o.\"offset\" - g.\"offset\") <= 0.5 + 0.01 * g.range_m AND abs(o.height - g.height) <= 0.4)"
 
 
@@ -363,6 +373,18 @@ def _unseen(spark, sf):
     return J.seen_before(p.where("height > 1.8"), p.where("height > 1.7"), kind="left_anti").select(*P.K, "point_idx")
 
 
+@query("seen_before_all", f"{CLOUD_CTE} SELECT {POINT} FROM local g WHERE {_SEEN.replace('FROM old o', 'FROM local o')}")
+def _seen_all(spark, sf):
+    p = local(spark, sf)
+    return J.seen_before(p, p).select(*P.K, "point_idx")
+
+
+@query("not_seen_before_all", f"{CLOUD_CTE} SELECT {POINT} FROM local g WHERE NOT {_SEEN.replace('FROM old o', 'FROM local o')}")
+def _unseen_all(spark, sf):
+    p = local(spark, sf)
+    return J.seen_before(p, p, kind="left_anti").select(*P.K, "point_idx")
+
+
 _PEAKS = "peaks AS (SELECT recording, frame_idx, CAST(floor(station / 3) AS BIGINT) AS station, CAST(floor(\"offset\" / 0.2) AS BIGINT) AS peak, avg(\"offset\") AS centre FROM local WHERE height > 1 GROUP BY ALL)"
 
 
@@ -518,6 +540,15 @@ def _chain(spark, sf):
     return Wn.chain_until_gap(c, P.K, "station", 1.0)
 
 
+@query(
+    "chain_until_gap_all",
+    f"""{CLOUD_CTE}, c AS (SELECT DISTINCT recording, frame_idx, station FROM local), g AS (SELECT *, coalesce(station - lag(station) OVER (PARTITION BY recording, frame_idx ORDER BY station), 0) > 1.0 AS gap FROM c), b AS (SELECT *, max(gap::INT) OVER (PARTITION BY recording, frame_idx ORDER BY station) AS broken FROM g)
+    SELECT recording, frame_idx, station FROM b WHERE broken = 0""",
+)
+def _chain_all(spark, sf):
+    return Wn.chain_until_gap(local(spark, sf).select(*P.K, "station").distinct(), P.K, "station", 1.0)
+
+
 @query(
     "arc_length",
     f"""{CLOUD_CTE}, l AS (SELECT recording, frame_idx, CAST(floor(station / 5) AS BIGINT) AS bin, CAST(floor(station / 5) * 5 AS DOUBLE) AS s, avg("offset") AS d FROM local GROUP BY ALL), c AS (SELECT *, coalesce(sqrt((s - lag(s) OVER w)*(s - lag(s) OVER w) + (d - lag(d) OVER w)*(d - lag(d) OVER w)), 0) AS chord FROM l WINDOW w AS (PARTITION BY recording, frame_idx ORDER BY bin))

@@ -60,6 +60,29 @@ def test_walls_turn_by_every_point(spark, sf_dir):
     assert {r["frame_idx"]: r["direction"] for r in QUERIES["wall_turn_direction_all"](spark, sf_dir).collect()} == want
 
 
+def test_components_of_all_points_against_all_pairs(spark, sf_dir):
+    import numpy as np
+
+    p = registry.local(spark, sf_dir).select("frame_idx", "point_idx", "station", "offset", "height", "range_m").toPandas()
+    want = {}
+    for f, g in p.groupby("frame_idx"):
+        near = lambda c: np.abs(np.subtract.outer(g[c].to_numpy(), g[c].to_numpy()))
+        far = np.maximum.outer(g.range_m.to_numpy(), g.range_m.to_numpy()) * 0.006
+        link = (near("station") <= 1.2) & (near("offset") <= np.maximum(0.25, far)) & (near("height") <= np.maximum(0.2, far))
+        root = g.point_idx.to_numpy()
+        while (least := np.where(link, root, root.max()).min(axis=1)).tolist() != root.tolist():
+            root = least
+        want |= {(f, i): r for i, r in zip(g.point_idx, root.tolist())}
+    got = {(r["frame_idx"], r["point_idx"]): r["root"] for r in QUERIES["proximity_components_all"](spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_every_point_is_seen_or_not(spark, sf_dir):
+    seen, unseen = (QUERIES[n](spark, sf_dir).select("frame_idx", "point_idx") for n in ("seen_before_all", "not_seen_before_all"))
+    every = registry.local(spark, sf_dir).select("frame_idx", "point_idx")
+    assert sorted(map(tuple, seen.union(unseen).collect())) == sorted(map(tuple, every.collect()))
+
+
 def test_order_and_partitions_dont_matter(spark, sf_dir):
     from corvia.operators import frames
     from corvia.plans import fixtures, more
