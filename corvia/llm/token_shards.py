@@ -139,6 +139,29 @@ class Shard:
             return slots
         return np.where((slots >= 0) & (self.entries["fp"][slots] == fingerprints(keys)), slots, -1)
 
+    def fetch(self) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) of every row's ids: first the rows without a key, then each
+        key's rows, from the row and offset in its slot on.
+
+        What the slots say is compared with the order of the file afterwards.
+        """
+        keys = self.keys[self.nulls :]
+        slots = self.find(keys)
+        if (slots < 0).any():
+            raise ValueError("a key is not in the index")
+        entry, at = self.entries[slots], np.arange(len(keys))
+        new = np.concatenate(([True], keys[1:] != keys[:-1], [True]))
+        rank = at - np.maximum.accumulate(np.where(new[:-1], at, 0)) if len(keys) else at
+        if (np.where(new[1:], rank + 1 != entry["rows"], False) if len(keys) else rank).any():
+            raise ValueError("a key has other rows than its slot says")
+        row = entry["row"] + rank
+        if ((row < self.nulls) | (row >= self.docs)).any():
+            raise ValueError("a slot names a row that isn't there")
+        begin, end = np.where(rank == 0, entry["offset"], self.offsets[row]), self.offsets[row + 1]
+        if (row != at + self.nulls).any() or (begin != self.offsets[row]).any():
+            raise ValueError("a slot names another key's row")
+        return np.concatenate((self.offsets[: self.nulls], begin)), np.concatenate((self.offsets[1 : self.nulls + 1], end))
+
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of each row with this key."""
         slot = int(self.find(np.array([key], np.int64))[0])
@@ -233,17 +256,10 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shard, base = Shard(memoryview(data.as_buffer())), starts[path.rpartition("/")[2]]
-                keys = shard.keys[shard.nulls :]
-                slots = shard.find(keys)
-                if (slots < 0).any():
-                    raise ValueError(f"{path}: a key is not in the index")
-                # the k-th row of a key that has several rows
-                first = shard.entries["row"][slots]
-                row = first + (np.arange(len(keys)) + shard.nulls - first)
-                if (row - first >= shard.entries["rows"][slots]).any():
-                    raise ValueError(f"{path}: a key has fewer rows than its slot says")
-                row = np.concatenate((np.arange(shard.nulls), row))
-                begin, end = shard.offsets[row], shard.offsets[row + 1]
+                try:
+                    begin, end = shard.fetch()
+                except ValueError as e:
+                    raise ValueError(f"{path}: {e}") from e
                 sums = [zlib.crc32(shard.ids[b:e].astype("<u4").tobytes()) for b, e in zip(begin.tolist(), end.tolist())]
                 ids = pa.array(shard.keys, pa.int64(), mask=np.arange(shard.docs) < shard.nulls)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(base + begin), pa.array(end - begin), pa.array(sums, pa.int64())], names=ROWS.names)

@@ -128,6 +128,25 @@ def test_shards_hold_what_the_library_gives(spark, documents, odd_docs, encoders
         assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
 
 
+def test_rows_come_from_the_slots():
+    keys = np.array([3, 5, 5, 5, 9, 12], np.int64)
+    counts = np.array([2, 1, 4, 2, 3, 1, 5, 2])  # two rows without a key
+    data = token_shards.shard_bytes(keys, 2, counts, np.arange(counts.sum()), 2)
+    ends = np.cumsum(counts)
+    begin, end = token_shards.Shard(data).fetch()
+    assert begin.tolist() == (ends - counts).tolist() and end.tolist() == ends.tolist()
+    for field, by in (("row", 1), ("row", -1), ("row", 1000), ("offset", 1), ("rows", 1), ("rows", -1)):
+        for key in (3, 5, 12):
+            shard = token_shards.Shard(data)
+            shard.entries = shard.entries.copy()
+            shard.entries[field][shard.find(np.array([key]))] += np.array(by).astype(shard.entries[field].dtype)
+            with pytest.raises(ValueError):
+                shard.fetch()
+    for n in (0, 2):
+        empty = token_shards.Shard(token_shards.shard_bytes(keys[:0], n, counts[:n], np.arange(counts[:n].sum()), 2))
+        assert empty.fetch()[0].tolist() == [0, 2][:n]
+
+
 def test_shards_of_nothing(no_docs):
     assert token_shards.encode_and_read(no_docs, vocabulary("byte_bpe_50k.json")).count() == 0
 
