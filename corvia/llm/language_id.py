@@ -43,12 +43,14 @@ SLICE = 4 << 20
 #: Share of the summed n-gram evidence that counts: n-grams overlap.
 TEMPER = 0.25
 LETTERS = re.compile(r"[^\W\d_]")
+DIGIT = re.compile(r"\d")
 HOST_STRENGTH, DOMAIN_STRENGTH = 5.0, 20.0
 
 #: Least posterior of the best language: what is hardly better than chance is rejected.
 THRESHOLD = 0.3
 #: Largest share of unknown n-grams in a text of a known language. The posterior
-#: only compares languages; this judges the fit by itself.
+#: only compares languages; this judges the fit by itself. Words with digits (keys,
+#: codes) are in no language and don't count here.
 UNKNOWN_SHARE = 0.15
 
 
@@ -111,7 +113,7 @@ class TextEvidence:
     def _start(self):
         self.code: dict[str, int] = {}
         self.value = np.zeros((0, len(self.model.langs)))
-        self.grams = np.zeros((0, 2), np.int64)
+        self.grams = np.zeros((0, 3), np.int64)
 
     def of(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
         """(tempered log likelihoods by language, null if the text is in none of them;
@@ -126,21 +128,22 @@ class TextEvidence:
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in distinct if w not in self.code]
         values = [self.value]
-        counts = [self.grams]  # n-grams, and those unknown
+        counts = [self.grams]  # n-grams; those judged, and those of them unknown
         for block in range(0, len(new), 8192):  # bounds the n-grams that are held at once
             grams = [self.model.word(w) for w in new[block : block + 8192]]
             size = np.fromiter(map(len, grams), np.int64, len(grams))
             flat = np.fromiter((g for own in grams for g in own), np.int64, int(size.sum()))
             owner = np.repeat(np.arange(len(grams)), size)
             values.append(np.stack([np.bincount(owner, self.model.logp[flat, k], len(grams)) for k in range(len(self.model.langs))], axis=1))
-            counts.append(np.stack([size, np.bincount(owner, flat == 0, len(grams)).astype(np.int64)], axis=1))
+            plain = np.fromiter((not DIGIT.search(w) for w in new[block : block + 8192]), np.int64, len(grams))
+            counts.append(np.stack([size, plain * size, plain * np.bincount(owner, flat == 0, len(grams)).astype(np.int64)], axis=1))
         if new:
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
             self.value, self.grams = np.concatenate(values), np.concatenate(counts)
         codes = np.fromiter((self.code[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
         owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
         sums = np.stack([np.bincount(owner, self.value[codes, k], len(texts)) for k in range(len(self.model.langs))], axis=1)
-        size, unknown = (segment_sum(self.grams[codes, k], offsets) for k in range(2))
+        size, unknown = (segment_sum(self.grams[codes, k], offsets) for k in (1, 2))
         foreign = bool(self.model.table) & (unknown > UNKNOWN_SHARE * size)
         ll = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32()), pa.array(TEMPER * sums.reshape(-1)), mask=pa.array(foreign))
         return ll, pa.array(segment_sum(self.grams[codes, 0] > 0, offsets).astype(np.int64))
