@@ -2,18 +2,26 @@
 
 Training (on the driver, over a bounded sample of labelled documents):
 1. Labelled tokens. Labels are of documents, so marks are chosen by greedy
-   covering: the word or character n-gram that occurs in most of the toxic
-   documents not yet explained, and hardly ever in others, until what is left is
-   too rare. Tokens of toxic documents that carry a mark are labelled 1.
+   covering: the word or character n-gram that is in most of the toxic documents
+   not yet explained, beyond what its share of clean documents lets expect, until
+   what is left is too rare. A mark may be in clean documents too, as long as
+   toxic ones have it far more often; so a language with few toxic documents
+   keeps its marks. Tokens of toxic documents that carry a mark are labelled 1.
 2. A two-state linear-chain CRF over hashed word and n-gram features is fitted to
    these token sequences by gradient ascent on the conditional likelihood
-   (forward-backward expectations).
-3. A logistic curve maps a document's marginals (largest, and sum of the
-   noticeable ones) to its score.
+   (forward-backward expectations). Clean sentences with a marked token are all
+   used, of the other clean sentences at most OTHER_SENTENCES, picked uniformly
+   and weighted up to their number. Sentences of toxic documents without a mark
+   are not used: nothing says what their tokens are.
+3. A logistic curve maps a document's marginals (largest, sum of the noticeable
+   ones, and that sum by its length) to its score. It is fitted on marginals of
+   chains that didn't see the document (two folds), so that what a chain knows by
+   heart doesn't count.
 
 Scoring (Arrow batches): emissions are computed once for each distinct word of a
 worker; forward-backward runs over all sentences of a batch at once. A sequence
-is a sentence; one of more than MAX_SEQUENCE tokens is cut, no token is left out.
+is a sentence, however long: pieces of MAX_SEQUENCE tokens run in step and pass
+their messages on to the next piece, which gives the marginals of the whole.
 
 Defined results: null and empty texts have no tokens and get the curve's lowest
 score; unlabelled or one-sided samples give a model that scores every text 0;
@@ -37,10 +45,15 @@ from ._common import F, T, map_batches, strings
 
 #: Labelled documents of each class that training reads at most.
 SAMPLE_PER_CLASS = 1_500
+#: Clean sentences without a marked token that training reads at most.
+OTHER_SENTENCES = 5_000
+#: Tokens that run in step; longer sentences are chained from such pieces.
 MAX_SEQUENCE = 128
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
 MARK_BITS = 21
+#: How many times as often as clean documents toxic ones must have a mark at least.
+ODDS = 3.0
 GRAMS = (4, 5, 6)
 THRESHOLD = 0.3
 TOKEN = re.compile(r"[^ \n]+")
@@ -96,73 +109,99 @@ def _signature(words: set[str]) -> tuple[int, ...]:
     return tuple(sorted(zlib.crc32(w.encode("utf-8")) for w in words if len(w) > 5)[:4])
 
 
-def _words(text: str) -> set[str]:
-    return {normal(t) for t in set(tokens_of(text))} - {""}
-
-
 def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - MARK_BITS)).astype(np.int64)
 
 
-def find_marks(rows: list[tuple[str, int]], least: int = 4, purity: float = 0.003) -> set[str]:
-    """Features of toxic tokens; rows: (text, label).
+def find_marks(rows: list[tuple[set[str], int]], least: int = 4, depth: int = 3, surprise: float = 4.0) -> set[str]:
+    """Features of toxic tokens; rows: (normalised words, label).
 
-    Near copies count once, so that the rare words of a copied document don't
-    seem to be common among toxic ones. Documents are counted in hashed slots
-    first; only features in slots that toxic documents have nearly for themselves
-    are then held by name.
+    A feature in n toxic and p plain documents has an excess of n - ODDS * e, where
+    e is p scaled to the number of toxic documents. The excess must be `least` at
+    least, and n - e `surprise` standard deviations. Documents count until `depth` marks explain
+    them. Near copies count once, so that the rare words of a copied document
+    don't seem to be common among toxic ones. Documents are counted in hashed slots
+    first; only features in slots that pass are then held by name.
     """
     seen: set = set()
     toxic, plain = [], []
-    for text, label in rows:
-        words = _words(text)
+    for words, label in rows:
         key = (label, _signature(words) or tuple(sorted(words)))
         if key not in seen:
             seen.add(key)
-            (toxic if label else plain).append(text)
+            (toxic if label else plain).append(words)
     if not toxic:
         return set()
     counts = np.zeros((2, 1 << MARK_BITS), np.int32)
-    in_toxic = Counter(w for text in toxic for w in _words(text))
+    in_toxic = Counter(w for words in toxic for w in words)
     in_toxic = {w: n for w, n in in_toxic.items() if n >= least}
     in_plain: Counter = Counter()
-    for label, texts in ((0, plain), (1, toxic)):
-        for text in texts:
-            words = _words(text)
+    for label, group in ((0, plain), (1, toxic)):
+        for words in group:
             if not label:
                 in_plain.update(words & in_toxic.keys())
             slots = np.unique(np.concatenate([_slots(h) for *_, h in gram_hashes(list(words))[1]]))
             counts[label, slots] += 1
-    # a feature of plain text is as common in either class
-    limit = purity * max(1, len(plain)) / len(toxic)
-    good = (counts[1] >= least) & (counts[0] <= limit * counts[1])
-    whole = {w for w, n in in_toxic.items() if in_plain[w] <= limit * n}
+    scale = len(toxic) / max(1, len(plain))
+
+    def passes(n, p):
+        return (n - ODDS * scale * p >= least) & (n - scale * p >= surprise * np.sqrt(1 + scale * p))
+
+    good = passes(counts[1], counts[0])
+    expected = {"=" + w: ODDS * scale * in_plain[w] for w, n in in_toxic.items() if passes(n, in_plain[w])}
     found: dict[str, set[int]] = defaultdict(set)
-    for d, text in enumerate(toxic):
-        words = _words(text)
-        for w in words & whole:
-            found["=" + w].add(d)
+    for d, words in enumerate(toxic):
+        for w in words & in_toxic.keys():
+            if "=" + w in expected:
+                found["=" + w].add(d)
         row, grams = gram_hashes(list(words))
         for n, at, _, h in grams:
-            for k in at[good[_slots(h)]].tolist():
+            slots = _slots(h)
+            for k, slot in zip(at[good[slots]].tolist(), slots[good[slots]].tolist()):
                 found[row[k : k + n]].add(d)
-    pure = {f: ds for f, ds in found.items() if len(ds) >= least}
+                expected[row[k : k + n]] = ODDS * scale * int(counts[0, slot])
+    pure = {f: ds for f, ds in found.items() if len(ds) - expected[f] >= least}
     strong = max(2 * least, len(toxic) // 100)
-    marks = {f for f, ds in pure.items() if f[0] == "=" and len(ds) >= strong}
-    left = set().union(*pure.values()) if pure else set()
+    marks = {f for f, ds in pure.items() if f[0] == "=" and len(ds) - expected[f] >= strong}
+    left = dict.fromkeys(range(len(toxic)), depth)
     while pure:
-        cover = {f: len(ds & left) for f, ds in pure.items()}
-        most = max(cover.values())
+        excess = {f: sum(d in left for d in ds) - expected[f] for f, ds in pure.items()}
+        most = max(excess.values())
         if most < least:
             break
         # of those that explain nearly as much as the best, the longest
-        f = max((f for f, n in cover.items() if n >= 0.97 * most), key=lambda k: (len(k), cover[k], k))
+        f = max((f for f, n in excess.items() if n >= 0.97 * most), key=lambda k: (len(k), excess[k], k))
         marks.add(f)
-        left -= pure[f]
-        pure = {k: v for k, v in pure.items() if cover[k] >= least and k != f}
+        for d in pure[f]:
+            if d in left:
+                left[d] -= 1
+                if not left[d]:
+                    del left[d]
+        pure = {k: v for k, v in pure.items() if excess[k] >= least and k != f}
     return marks
 
 
+class Marked:
+    """Which tokens carry a mark, looked up once for each distinct word."""
+
+    def __init__(self, marks: set[str]):
+        self.whole = {m[1:] for m in marks if m[0] == "="}
+        own = [m for m in marks if m[0] != "="]
+        self.grams = {n: {m for m in own if len(m) == n} for n in GRAMS}
+        self.known: dict[str, bool] = {}
+
+    def __call__(self, token: str) -> bool:
+        held = self.known.get(token)
+        if held is None:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            w = normal(token)
+            row = f"<{w}>"
+            held = bool(w) and (w in self.whole or any(row[i : i + n] in own for n, own in self.grams.items() if own for i in range(len(row) - n + 1)))
+            self.known[token] = held
+        return held
+
+
 @dataclass
 class Crf:
     """weights: of each feature bucket for state 1 against 0; trans: log potentials."""
@@ -171,7 +210,7 @@ class Crf:
     bias: float
     trans: np.ndarray
     start: float
-    curve: tuple[float, float, float]
+    curve: tuple[float, ...]
 
     def emission(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), -20.0)
@@ -182,10 +221,27 @@ class Crf:
             out[block : block + len(own)] = np.where([bool(w) for w in own], sums, -20.0)
         return np.clip(out, -20, 20).astype(np.float32)
 
-    def document_scores(self, top: np.ndarray, mass: np.ndarray) -> np.ndarray:
-        a, b, c = self.curve
-        z = a + b * np.log((top + 1e-6) / (1 - top + 1e-6)) + c * np.log1p(mass)
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    def document_scores(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(curve_inputs(evidence) @ np.array(self.curve), -40, 40)))
+
+
+def document_evidence(marginals: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(documents, 3): largest marginal, sum of those over 0.1, tokens."""
+    n = np.diff(bounds)
+    top = np.zeros(len(n))
+    some = np.flatnonzero(n)
+    if len(some):
+        top[some] = np.maximum.reduceat(marginals, bounds[some])
+    run = np.concatenate(([0.0], np.cumsum(np.where(marginals > 0.1, marginals, 0.0))))
+    return np.stack([top, run[bounds[1:]] - run[bounds[:-1]], n.astype(float)], axis=1)
+
+
+def curve_inputs(evidence: np.ndarray) -> np.ndarray:
+    """Of a document: how sure the surest token is, how much toxic text there is, how
+    dense it is, and both at once."""
+    top, mass, n = evidence.T
+    much, dense = np.log1p(mass), np.log1p(500 * mass / (n + 20))
+    return np.stack([np.ones(len(top)), top, much, dense, much * dense], axis=1)
 
 
 def sequences(n: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,14 +259,54 @@ def sequences(n: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins, lengths
 
 
-def forward_backward(score: np.ndarray, begins: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: float, pairs: bool = False):
+def continued(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which sequences go on where the one before them was cut."""
+    out = np.zeros(len(begins), bool)
+    out[1:] = ~ends[begins[1:] - 1]
+    return out
+
+
+def _messages(e1, begins, lengths, t, joined, start):
+    """For chains of pieces: the forward message into each piece and the backward
+    message out of it. A piece is a product of 2x2 matrices, all pieces in step;
+    only their chain is walked."""
+    into, out = np.ones((len(begins), 2)), np.ones((len(begins), 2))
+    part = np.flatnonzero(joined | np.append(joined[1:], False))
+    m = np.broadcast_to(np.eye(2), (len(part), 2, 2)).copy()
+    for k in range(int(lengths[part].max())):
+        on = np.flatnonzero(lengths[part] > k)
+        at = begins[part[on]] + k
+        if k:
+            step = m[on] @ t
+        else:  # a chain's first token has the start potential and no transition
+            step = np.where(joined[part[on]][:, None, None], t[None], np.array([[1.0, np.exp(start)], [0.0, 0.0]])[None])
+        step[:, :, 1] *= e1[at][:, None]
+        m[on] = step / step.sum(axis=(1, 2), keepdims=True)
+    for j, p in enumerate(part[:-1].tolist()):
+        if joined[p + 1]:
+            v = (into[p] if joined[p] else np.array([1.0, 0.0])) @ m[j]
+            into[p + 1] = v / v.sum()
+    for j in range(len(part) - 1, 0, -1):
+        p = int(part[j])
+        if joined[p]:
+            v = m[j] @ out[p]
+            out[p - 1] = v / v.sum()
+    return into, out
+
+
+def forward_backward(score: np.ndarray, begins: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: float, pairs: bool = False, joined: np.ndarray | None = None, weight: np.ndarray | None = None):
     """Marginals of state 1, all sequences in step; with pairs, also the expected
-    transition counts (2x2) and the log normaliser."""
+    transition counts (2x2, by the weight of each token) and the log normaliser.
+    joined: sequences that continue the one before them."""
     n = len(score)
     e1 = np.exp(score.astype(np.float64))
     t = np.exp(trans)
+    chained = joined is not None and bool(joined.any())
+    first = np.ones(len(begins), bool) if not chained else ~joined
+    into, beyond = _messages(e1, begins, lengths, t, joined, start) if chained else (None, None)
+    heads = begins[first]
     order = np.argsort(-lengths, kind="stable")
-    begins, lengths = begins[order], lengths[order]
+    begins, lengths, first = begins[order], lengths[order], first[order]
     longest = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")  # sequences with more than k tokens
     fwd, norm = np.empty((n, 2)), np.empty(n)
@@ -218,6 +314,10 @@ def forward_backward(score: np.ndarray, begins: np.ndarray, lengths: np.ndarray,
         at = begins[: active[k]] + k
         if k == 0:
             a0, a1 = np.ones(len(at)), e1[at] * np.exp(start)
+            if chained:
+                p = into[order[: active[0]]]
+                a0 = np.where(first[: active[0]], a0, p[:, 0] * t[0, 0] + p[:, 1] * t[1, 0])
+                a1 = np.where(first[: active[0]], a1, e1[at] * (p[:, 0] * t[0, 1] + p[:, 1] * t[1, 1]))
         else:
             p = fwd[at - 1]
             a0 = p[:, 0] * t[0, 0] + p[:, 1] * t[1, 0]
@@ -225,6 +325,10 @@ def forward_backward(score: np.ndarray, begins: np.ndarray, lengths: np.ndarray,
         z = a0 + a1
         fwd[at, 0], fwd[at, 1], norm[at] = a0 / z, a1 / z, z
     bwd = np.ones((n, 2))
+    if chained:
+        last = begins + lengths - 1
+        own = beyond[order]
+        bwd[last] = own / (fwd[last] * own).sum(axis=1, keepdims=True)
     for k in range(longest - 2, -1, -1):
         at = begins[: active[k + 1]] + k
         nx = bwd[at + 1]
@@ -236,12 +340,13 @@ def forward_backward(score: np.ndarray, begins: np.ndarray, lengths: np.ndarray,
     if not pairs:
         return marginal
     inner = np.ones(n, bool)
-    inner[begins] = False
+    inner[heads] = False
     at = np.flatnonzero(inner)
     expected = np.zeros((2, 2))
     for a in (0, 1):
         for b in (0, 1):
-            expected[a, b] = (fwd[at - 1, a] * t[a, b] * (e1[at] if b else 1.0) * bwd[at, b] / norm[at]).sum()
+            own = fwd[at - 1, a] * t[a, b] * (e1[at] if b else 1.0) * bwd[at, b] / norm[at]
+            expected[a, b] = (own if weight is None else own * weight[at]).sum()
     return marginal, expected, float(np.log(norm).sum())
 
 
@@ -253,28 +358,33 @@ def sentence_ends(tokens: list[str]) -> np.ndarray:
     return np.fromiter((t[-1] in ".!?" for t in tokens), bool, len(tokens))
 
 
-def fit_chain(token_docs: list[tuple[list[str], np.ndarray]], rounds: int = 30, rate: float = 0.5, l2: float = 1e-4) -> Crf:
-    """token_docs: (tokens, 0/1 labels), each a sequence."""
-    words = list(dict.fromkeys(normal(t) for ts, _ in token_docs for t in ts))
+def fit_chain(token_docs: list[tuple[list[str], np.ndarray, float]], rounds: int = 30, rate: float = 0.5, l2: float = 1e-4) -> Crf:
+    """token_docs: (tokens, 0/1 labels, weight), each a sequence."""
+    words = list(dict.fromkeys(normal(t) for ts, *_ in token_docs for t in ts))
     number = {w: k for k, w in enumerate(words)}
     owner, flat = buckets(words)
-    tok = np.fromiter((number[normal(t)] for ts, _ in token_docs for t in ts), np.int64)
-    gold = np.concatenate([y for _, y in token_docs]).astype(np.float64)
-    lengths = np.fromiter((len(ts) for ts, _ in token_docs), np.int64, len(token_docs))
-    begins = np.cumsum(lengths) - lengths
+    tok = np.fromiter((number[normal(t)] for ts, *_ in token_docs for t in ts), np.int64)
+    gold = np.concatenate([y for _, y, _ in token_docs]).astype(np.float64)
+    lengths = np.fromiter((len(ts) for ts, *_ in token_docs), np.int64, len(token_docs))
+    weight = np.repeat(np.fromiter((w for *_, w in token_docs), np.float64, len(token_docs)), lengths)
+    heads = np.cumsum(lengths) - lengths
+    ends = np.zeros(len(tok), bool)
+    ends[heads + lengths - 1] = True
+    begins, lengths = sequences(len(tok), ends)
+    joined = continued(begins, ends)
     inner = np.ones(len(tok), bool)
-    inner[begins] = False
+    inner[heads] = False
     at = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (gold[at - 1].astype(int), gold[at].astype(int)), 1)
-    model = Crf(np.zeros(BUCKETS), -3.0, np.zeros((2, 2)), 0.0, (0.0, 1.0, 0.0))
+    np.add.at(seen, (gold[at - 1].astype(int), gold[at].astype(int)), weight[at])
+    model = Crf(np.zeros(BUCKETS), -3.0, np.zeros((2, 2)), 0.0, (0.0,) * 5)
     gw, gb, gt, gs = np.full(BUCKETS, 1e-8), 1e-8, np.full((2, 2), 1e-8), 1e-8
     scale = max(1.0, gold.sum())
     for _ in range(rounds):
         per_word = model.bias + np.bincount(owner, model.weights[flat], len(words))
         score = np.clip(per_word[tok], -20, 20)
-        marginal, expected, _ = forward_backward(score, begins, lengths, model.trans, model.start, pairs=True)
-        diff = (gold - marginal) / scale
+        marginal, expected, _ = forward_backward(score, begins, lengths, model.trans, model.start, pairs=True, joined=joined, weight=weight)
+        diff = weight * (gold - marginal) / scale
         by_word = np.bincount(tok, diff, len(words))
         g = np.bincount(flat, by_word[owner], BUCKETS) - l2 * model.weights
         gw += g * g
@@ -286,67 +396,91 @@ def fit_chain(token_docs: list[tuple[list[str], np.ndarray]], rounds: int = 30,
         gt += g * g
         model.trans += rate * g / np.sqrt(gt)
         model.trans[0, 0] = 0.0
-        g = diff[begins].sum()
+        g = diff[heads].sum()
         gs += g * g
         model.start += rate * g / np.sqrt(gs)
     return model
 
 
-def fit_curve(top: np.ndarray, mass: np.ndarray, label: np.ndarray, rounds: int = 25) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a small ridge."""
-    x = np.stack([np.ones(len(top)), np.log((top + 1e-6) / (1 - top + 1e-6)), np.log1p(mass)], axis=1)
-    w = np.zeros(3)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
-        w += np.linalg.solve(h, x.T @ (label - p) - 1e-2 * w)
-    return tuple(float(v) for v in w)
+def fit_curve(evidence: np.ndarray, label: np.ndarray, rounds: int = 25) -> tuple[float, ...]:
+    """Logistic regression by Newton steps with a small ridge. More evidence never
+    lowers a score: inputs that would are left out."""
+    x = curve_inputs(evidence)
+    use = np.ones(x.shape[1], bool)
+    while True:
+        own = x[:, use]
+        w = np.zeros(own.shape[1])
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            h = (own * (p * (1 - p))[:, None]).T @ own + 0.1 * np.eye(len(w))
+            w += np.linalg.solve(h, own.T @ (label - p) - 0.1 * w)
+        out = np.zeros(x.shape[1])
+        out[use] = w
+        if not (out[1:] < 0).any():
+            return tuple(float(v) for v in out)
+        use[1 + np.flatnonzero(out[1:] < 0)] = False
+
+
+def chain_of(rows: list[tuple[list[str], set[str], int]], others: int) -> Crf | None:
+    """The chain without its curve; rows: (tokens, words, label). None without marks."""
+    marked = Marked(find_marks([(words, y) for _, words, y in rows]))
+    own, rest = [], []
+    for ts, _, y in rows:
+        if not ts:
+            continue
+        flags = np.fromiter((marked(t) for t in ts), bool, len(ts))
+        cuts = np.flatnonzero(sentence_ends(ts)) + 1
+        for b, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ts)]):
+            if b == e:
+                continue
+            if flags[b:e].any():
+                own.append((ts[b:e], flags[b:e] & bool(y), 1.0))
+            elif not y:
+                rest.append(ts[b:e])
+    if not any(f.any() for _, f, _ in own):
+        return None
+    number = len(rest)
+    if number > others:
+        rest = [rest[k] for k in np.random.default_rng(7).choice(number, others, replace=False)]
+    return fit_chain(own + [(ts, np.zeros(len(ts), bool), number / len(rest)) for ts in rest])
+
+
+def evidence_of(model: Crf, texts: list[str]) -> np.ndarray:
+    scorer = Scorer(model)
+    return np.concatenate([document_evidence(*scorer.token_marginals(pa.array(texts[k : k + 200], pa.string()))) for k in range(0, len(texts), 200)])
 
 
-def train(rows: list[tuple[str, int]], most_sequences: int = 5_000) -> Crf | None:
-    """rows: (text, label). None if a class is missing."""
+def train(rows: list[tuple[str, int]], others: int = OTHER_SENTENCES) -> Crf | None:
+    """rows: (text, label). None if a class is missing, or no mark is found."""
     if not any(y for _, y in rows) or all(y for _, y in rows):
         return None
-    marks = find_marks(rows)
-    known: dict[str, bool] = {}
-
-    def marked(token):
-        w = normal(token)
-        if w not in known:
-            if len(known) > 100_000:
-                known.clear()
-            known[w] = not marks.isdisjoint(features(w)) if w else False
-        return known[w]
-
-    rng = np.random.default_rng(7)
-    with_marks, without = [], []
-    for text, y in rows:
+    known_by: dict[str, str] = {}
+
+    def prepared(text, y):
         ts = tokens_of(text)
-        if not ts:
-            continue
-        begins, lengths = sequences(len(ts), sentence_ends(ts))
-        flags = np.fromiter((bool(y) and marked(t) for t in ts), bool, len(ts))
-        for b, n in zip(begins.tolist(), lengths.tolist()):
-            own = flags[b : b + n]
-            if own.any():
-                with_marks.append((ts[b : b + n], own))
-            elif not y and rng.random() < 0.25:
-                without.append((ts[b : b + n], own))
-    if not with_marks:
+        own = set(ts)
+        for t in own:
+            if t not in known_by:
+                known_by[t] = normal(t)
+        return ts, {known_by[t] for t in own} - {""}, y
+
+    docs = [prepared(t, y) for t, y in rows]
+    known_by.clear()
+    model = chain_of(docs, others)
+    if model is None:
         return None
-    if len(without) > most_sequences:
-        without = [without[k] for k in rng.choice(len(without), most_sequences, replace=False)]
-    if len(with_marks) > most_sequences:
-        with_marks = [with_marks[k] for k in rng.choice(len(with_marks), most_sequences, replace=False)]
-    model = fit_chain(with_marks + without)
-    tops, masses = [], []
-    scorer = Scorer(model)
-    for block in range(0, len(rows), 200):
-        m, bounds = scorer.token_marginals(pa.array([t for t, _ in rows[block : block + 200]], pa.string()))
-        own = [m[b:e] for b, e in zip(bounds[:-1], bounds[1:])]
-        tops += [x.max() if len(x) else 0.0 for x in own]
-        masses += [x[x > 0.1].sum() if len(x) else 0.0 for x in own]
-    model.curve = fit_curve(np.array(tops), np.array(masses), np.array([y for _, y in rows], float))
+    label = np.array([y for _, y in rows], float)
+    # near copies stay in one fold
+    fold_of = np.fromiter((zlib.crc32(repr(_signature(words)).encode()) % 2 for _, words, _ in docs), np.int64, len(rows))
+    evidence, known = np.zeros((len(rows), 3)), np.zeros(len(rows), bool)
+    for side in (0, 1):
+        test = np.flatnonzero(fold_of == side)
+        part = chain_of([docs[k] for k in np.flatnonzero(fold_of != side)], others)
+        if part is not None and len(test):
+            evidence[test], known[test] = evidence_of(part, [rows[k][0] for k in test]), True
+    if not (known.any() and label[known].any() and not label[known].all()):
+        evidence, known = evidence_of(model, [t for t, _ in rows]), np.ones(len(rows), bool)
+    model.curve = fit_curve(evidence[known], label[known])
     return model
 
 
@@ -389,7 +523,7 @@ class Scorer:
         ends = self.end[codes]
         ends[bounds[1:][bounds[1:] > 0] - 1] = True  # a text ends a sequence
         begins, lengths = sequences(n, ends)
-        return forward_backward(self.score[codes], begins, lengths, self.model.trans, self.model.start), bounds
+        return forward_backward(self.score[codes], begins, lengths, self.model.trans, self.model.start, joined=continued(begins, ends)), bounds
 
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])
@@ -441,17 +575,12 @@ def _score_batches(model: Crf | None, spans: bool):
         if not scorers:
             scorers.append(Scorer(model))
         marginals, bounds = scorers[0].token_marginals(texts)
-        if not len(marginals):
-            return model.document_scores(np.zeros(len(texts)), np.zeros(len(texts))), [[] for _ in range(len(texts))]
-        top = np.zeros(len(texts))
-        some = np.flatnonzero(np.diff(bounds))
-        top[some] = np.maximum.reduceat(marginals, bounds[some])
-        run = np.concatenate(([0.0], np.cumsum(np.where(marginals > 0.1, marginals, 0.0))))
+        evidence = document_evidence(marginals, bounds)
         found = [[] for _ in range(len(texts))]
         if spans:
-            for k in np.flatnonzero(top >= 0.5):
+            for k in np.flatnonzero(evidence[:, 0] >= 0.5):
                 found[k] = text_spans(texts[int(k)].as_py(), marginals[bounds[k] : bounds[k + 1]])
-        return model.document_scores(top, run[bounds[1:]] - run[bounds[:-1]]), found
+        return model.document_scores(evidence), found
 
     return score
 
