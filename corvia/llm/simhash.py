@@ -19,8 +19,11 @@ Links: two fingerprints at `distance` or fewer differing bits are linked.
    than it has fingerprints. Fingerprints that are already connected are not
    compared again, and a fingerprint near a pivot of its own bucket is linked at
    once; so a dense bucket costs about its size.
-4. Buckets over `bucket_rows` are dealt out once more, each pair of sub-buckets
-   to a task, so that no task gets an unbounded bucket.
+4. Buckets over `bucket_rows` are dealt out again: the bits in which their
+   fingerprints may still differ are cut into distance+1 blocks, of which a linked
+   pair shares one at least. A row is copied distance+1 times for that, however
+   large its bucket is, and a bucket shrinks by the values of a block; this is
+   repeated for those that stay large. It ends, as the free bits run out.
 5. Components: smallest label over links, with hooked roots and pointer jumping,
    until nothing changes; each round is cut off by a table in the shared folder.
 
@@ -210,31 +213,61 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def sub_masks(mask: int, blocks: int) -> list[int]:
+    """mask with one more block of its free bits, for each of `blocks` blocks."""
+    free = [1 << k for k in range(BITS) if not mask >> k & 1]
+    cuts = [round(k * len(free) / blocks) for k in range(blocks + 1)]
+    return [mask | sum(free[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
+def deal_again(large: DataFrame, distance: int) -> DataFrame:
+    """Rows (m, v, fp) of buckets v = fp & m dealt to buckets of more bits. Two
+    fingerprints of a bucket at `distance` bits or fewer meet in one of them."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("m", "v", "fp")])
+    known: dict[int, list[int]] = {}
+
+    def run(batch):
+        mask, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        masks, bits, fps = [], [], []
+        for m in np.unique(mask).tolist():
+            if m not in known:
+                known[m] = [_signed(x) for x in sub_masks(m % (1 << BITS), distance + 1)]
+            own = fp[mask == m]
+            for x in known[m]:
+                masks.append(np.full(len(own), x, np.int64))
+                bits.append(own & np.int64(x))
+                fps.append(own)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (masks, bits, fps)], names=schema.names)
+
+    return map_batches(large.select("m", "fp"), schema, run).distinct()
+
+
 def links(distinct: DataFrame, distance: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect all
     that are connected; not all pairs."""
-    masks = block_masks(distance + 2)
-    keys = [F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(x | y))).alias("v")) for k, (x, y) in enumerate(combinations(masks, 2))]
-    dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", F.col("k.t").alias("t"), F.col("k.v").alias("v"))
-    sized = dealt.groupBy("t", "v").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    sized = stored(sized, "simhash-buckets")
-    # buckets that hold one fingerprint have no pair; large ones are dealt out again
-    rows = dealt.join(sized, ["t", "v"])
-    cuts = F.when(F.col("n") > bucket_rows, F.ceil(F.col("n") / (bucket_rows // 2))).otherwise(F.lit(1)).cast("int")
-    rows = rows.withColumn("cuts", cuts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
-    small = rows.where("cuts = 1").select("t", "v", "fp", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    large = rows.where("cuts > 1").select("t", "v", "fp", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other"), "own")
-    large = large.select("t", "v", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    masks = [_signed(x | y) for x, y in combinations(block_masks(distance + 2), 2)]
+    dealt = distinct.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("m")).select("m", F.col("m").bitwiseAND(F.col("fp")).alias("v"), "fp")
+    every = None
+    while True:
+        # buckets that hold one fingerprint have no pair
+        sized = stored(dealt.groupBy("m", "v").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
+        rows = dealt.join(sized, ["m", "v"])
+        # with so few free bits a bucket is small, whatever bucket_rows says
+        split = (F.col("n") > bucket_rows) & (F.bit_count("m") < BITS - distance - 1)
+        small = rows.where(~split).select("m", "v", "fp")
+        every = small if every is None else every.unionByName(small)
+        if not sized.where(split).limit(1).count():
+            break
+        dealt = stored(deal_again(rows.where(split), distance), "simhash-large")
     edge = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    group = F.xxhash64("t", "v", "i", "j")
 
     def run(batches):
         """Rows come sorted by bucket; a bucket may span batches."""
         held: list[pa.Table] = []
 
         def solve(tab):
-            key = np.stack([tab.column(k).to_numpy() for k in range(4)], axis=1)
-            fp = tab.column(4).to_numpy()
+            key = np.stack([tab.column(k).to_numpy() for k in range(2)], axis=1)
+            fp = tab.column(2).to_numpy()
             new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
             pairs = sorted_bucket_links(fp.view(np.uint64), new, distance)
             return pa.RecordBatch.from_arrays([pa.array(fp[pairs[:, 0]]), pa.array(fp[pairs[:, 1]])], names=edge.names)
@@ -244,7 +277,7 @@ def links(distinct: DataFrame, distance: int = 4, bucket_rows: int = BUCKET_ROWS
                 continue
             held.append(pa.Table.from_batches([batch]))
             tab = pa.concat_tables(held)
-            key = np.stack([tab.column(k).to_numpy() for k in range(4)], axis=1)
+            key = np.stack([tab.column(k).to_numpy() for k in range(2)], axis=1)
             last = np.flatnonzero((key != key[-1]).any(axis=1))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
@@ -253,9 +286,7 @@ def links(distinct: DataFrame, distance: int = 4, bucket_rows: int = BUCKET_ROWS
         if held:
             yield solve(pa.concat_tables(held))
 
-    every = small.unionByName(large.select("t", "v", "fp", "i", "j")).select("t", "v", "i", "j", "fp")
-    every = every.withColumn("g", group).repartition("g").sortWithinPartitions("t", "v", "i", "j").drop("g")
-    return every.mapInArrow(run, edge)
+    return every.repartition("m", "v").sortWithinPartitions("m", "v").mapInArrow(run, edge)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -292,12 +323,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def with_components(fp: DataFrame, distance: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """fp (doc_id, fp, ...) with component_id added."""
+    """fp (doc_id, fp, ...) with component_id and label added; label is a fingerprint
+    that stands for the component, also where no row of it has an id."""
     distinct = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     label = components(links(distinct.select("fp"), distance, bucket_rows)).select(F.col("node").alias("fp"), "label")
     placed = distinct.join(label, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = stored(placed.join(least, "label").select("fp", "component_id"), "components")
+    named = stored(placed.join(least, "label").select("fp", "component_id", "label"), "components")
     return fp.join(named, "fp")
 
 
@@ -321,9 +353,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     fp = stored(map_batches(narrow.withColumn("h", F.xxhash64("text")), schema, run), "fingerprints")
     named = with_components(fp, distance)
     # the first row of each component, by partial aggregation
-    first = named.groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("m")
-    )
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("m"))
     chosen = stored(first.select(_row_key(F.col("m.doc_id"), F.col("m.h")).alias(key)).distinct(), "kept")
     # equal rows meet before the shuffle, so many copies of one row are few rows in it
     tagged = docs.withColumn(key, _row_key(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))))
