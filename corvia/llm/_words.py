@@ -5,6 +5,10 @@ an isolated space before a letter). Cutting texts there gives chunks whose ids
 can be looked up, so that each worker encodes a chunk once however often the
 corpus repeats it. Texts with unusual white space, where such places are not
 obvious, are encoded whole.
+
+Ids are those of the library as it is loaded: strings of a vocabulary's control
+tokens inside a text become their ids. They hold no white space, so no place where
+texts are cut is inside one.
 """
 
 from __future__ import annotations
@@ -150,9 +154,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tok
+    return Tokenizer.from_file(path)
 
 
 class ByteLevelEncoder(Encoder):
