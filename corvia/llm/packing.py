@@ -7,6 +7,12 @@ bins travel on as single items (with the list of their pieces) to fewer
 partitions, are packed again as items, and so on until one partition is left,
 which emits all. Only underfull bins ever move, and no text does.
 
+A partition holds at most one bin that is half full or less after a round (two
+would share one), so only the emptiest bins can still gain: each partition passes
+on its OPEN_BINS emptiest and emits the others as they are. So a task of a round gets at
+most FAN_IN * OPEN_BINS bins, however little they combine. Round 0 packs whenever
+it holds HELD_PIECES pieces and goes on with what is underfull, in the same way.
+
 Defined results: a null text is empty; an empty document has one piece of one id
 (the end id). Rows with equal or null ids are separate documents. An empty table
 gives no rows. Other columns are ignored.
@@ -22,13 +28,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._common import F, T, map_batches, shared_dir, strings
+from ._common import F, T, map_batches, shared_dir, sliced, strings
 from ._words import WordEndEncoder, held
 
 #: Bins with at least this share of the capacity are emitted in any round.
 NEARLY_FULL = 0.998
 #: Partitions that send their underfull bins to one partition of the next round.
 FAN_IN = 8
+#: Underfull bins that a partition passes on to the next round.
+OPEN_BINS = 1_024
+#: Pieces that a partition of round 0 holds before it packs them.
+HELD_PIECES = 250_000
 
 PIECE = T.StructType(
     [
@@ -80,23 +90,37 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _bins(items: list[tuple[int, list]], capacity: int, round_no: int, last: bool):
-    """Arrow batches of BIN rows for items (total, pieces)."""
-    part = TaskContext.get().partitionId() if TaskContext.get() else 0
-    packed = best_fit_decreasing([t for t, _ in items], capacity)
-    for block in range(0, len(packed), 2000):
-        rows = packed[block : block + 2000]
-        totals = [sum(items[i][0] for i in b) for b in rows]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([last or t >= NEARLY_FULL * capacity for t in totals], pa.bool_()),
-                # round, partition and bin: unique over all emitted bins
-                pa.array([(round_no << 56) | (part << 28) | (block + k) for k in range(len(rows))], pa.int64()),
-                pa.array(totals, pa.int64()),
-                pa.array([[p for i in b for p in items[i][1]] for b in rows], pa.list_(_PIECE_ARROW)),
-            ],
-            names=BIN.names,
-        )
+def pack_items(items: list[tuple[int, list]], capacity: int, open_bins: int, last: bool = False) -> tuple[list[tuple[int, list]], list[tuple[int, list]]]:
+    """(bins to emit, bins to pass on) of items (total, pieces); bins are items again."""
+    done, rest = [], []
+    for b in best_fit_decreasing([t for t, _ in items], capacity):
+        own = (sum(items[i][0] for i in b), [p for i in b for p in items[i][1]])
+        (done if last or own[0] >= NEARLY_FULL * capacity else rest).append(own)
+    rest.sort(key=lambda own: own[0])
+    return done + rest[open_bins:], rest[:open_bins]
+
+
+class _Numbered:
+    """Arrow batches of BIN rows; ids of round, partition and bin are unique over all
+    emitted bins."""
+
+    def __init__(self, round_no: int):
+        self.part = TaskContext.get().partitionId() if TaskContext.get() else 0
+        self.next = (round_no << 56) | (self.part << 28)
+
+    def rows(self, bins: list[tuple[int, list]], full: bool):
+        for block in range(0, len(bins), 2000):
+            own = bins[block : block + 2000]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([full] * len(own), pa.bool_()),
+                    pa.array(range(self.next, self.next + len(own)), pa.int64()),
+                    pa.array([t for t, _ in own], pa.int64()),
+                    pa.array([ps for _, ps in own], pa.list_(_PIECE_ARROW)),
+                ],
+                names=BIN.names,
+            )
+            self.next += len(own)
 
 
 def document_pieces(doc_id, ids: np.ndarray, capacity: int) -> list[tuple]:
@@ -106,7 +130,7 @@ def document_pieces(doc_id, ids: np.ndarray, capacity: int) -> list[tuple]:
     ]
 
 
-def pack(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1, open_bins: int = OPEN_BINS, held_pieces: int = HELD_PIECES) -> DataFrame:
     """Pieces with their sequence and place: PIECE's columns, sequence_id, offset.
 
     Every sequence holds at most `capacity` ids, without gaps from offset 0.
@@ -118,22 +142,29 @@ def pack(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str =
     def first(batches):
         items = []
         encoder = held(WordEndEncoder, vocab)
-        from ._common import sliced
-
+        out = _Numbered(0)
         for batch in batches:
             for part in sliced(batch):
                 ids, bounds = encoder.encode_texts(strings(part.column(1)))
                 for k, doc_id in enumerate(part.column(0).to_pylist()):
                     own = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id))
                     items += [(p[3], [p]) for p in document_pieces(doc_id, own, capacity)]
-        yield from _bins(items, capacity, 0, False)
+                if len(items) >= held_pieces:
+                    done, items = pack_items(items, capacity, open_bins)
+                    yield from out.rows(done, True)
+        done, rest = pack_items(items, capacity, open_bins)
+        yield from out.rows(done, True)
+        yield from out.rows(rest, False)
 
     def further(round_no, last):
         def run(batches):
             items = []
             for batch in batches:
                 items += [(t, [tuple(p.values()) for p in ps]) for t, ps in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield from _bins(items, capacity, round_no, last)
+            done, rest = pack_items(items, capacity, open_bins, last)
+            out = _Numbered(round_no)
+            yield from out.rows(done, True)
+            yield from out.rows(rest, False)
 
         return run
 
@@ -142,13 +173,12 @@ def pack(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str =
         return spark.read.schema(BIN).parquet(f"{base}/{name}")
 
     rounds = [saved(narrow.mapInArrow(first, BIN), "0")]
-    # partitions of round 0 that sent underfull bins, by the bins' numbers
-    width = (rounds[0].where(~F.col("full")).agg(F.max(F.shiftright("sequence_id", 28))).first()[0] or 0) + 1
     while True:
-        width = -(-width // FAN_IN)
+        # bins that were passed on, not partitions, say how many tasks are of use
+        n = rounds[-1].where(~F.col("full")).count()
+        width = -(-n // (FAN_IN * open_bins)) or 1
         rest = rounds[-1].where(~F.col("full")).repartition(width)
-        n = len(rounds)
-        rounds.append(saved(rest.mapInArrow(further(n, width == 1), BIN), str(n)))
+        rounds.append(saved(rest.mapInArrow(further(len(rounds), width == 1), BIN), str(len(rounds))))
         if width == 1:
             break
     done = rounds[0].where("full")
