@@ -18,8 +18,10 @@ Defined results: null, empty and letterless texts have no text evidence; with no
 other evidence they get lang 'und' and are rejected, as is any row whose best
 posterior is under the threshold. A text with more than UNKNOWN_SHARE of n-grams
 that no labelled language has is in none of them: it gets 'und', posterior 0, is
-rejected whatever its markup or host says, and counts for no prior. A null host, address or markup gives no
-evidence. Repeated rows are judged each; an empty table gives no rows.
+rejected whatever its markup or host says, and counts for no prior. A text in
+several languages gets that of most of its words. A null host, address or markup
+gives no evidence. Repeated rows are judged each; an empty table gives no rows. Of
+training rows with one id and label, one counts.
 """
 
 from __future__ import annotations
@@ -31,12 +33,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 
 from ._common import F, T, fresh, map_batches, segment_sum, stored, strings
 
-#: Labelled texts of each language that fitting reads at most.
-SAMPLE_PER_LANGUAGE = 1_000
+#: Labelled texts of each language that fitting reads at most, and their bytes.
+SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 1_000, 32 << 20
+#: Labels that are modelled at most: the most frequent ones. Rows of others are
+#: judged like any row, but there is no model of their language.
+MOST_LABELS = 200
 GRAMS = (1, 2, 3)
 #: Text bytes handled at once: a word takes a row of numbers for all languages.
 SLICE = 4 << 20
@@ -149,19 +154,22 @@ class TextEvidence:
         return ll, pa.array(segment_sum(self.grams[codes, 0] > 0, offsets).astype(np.int64))
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> NgramModel:
-    """Sample: for each label, rows in the order of a hash of their ids."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(lang_col).cast("string").alias("l"))
-    langs = sorted(r["l"] for r in known.select("l").distinct().collect())
-    picks = None
-    for lang in langs:
-        p = known.where(F.col("l") == lang).orderBy(F.xxhash64("i"), "i").limit(per_language)
-        picks = p if picks is None else picks.unionByName(p)
-    if picks is None:
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES, most_labels: int = MOST_LABELS) -> NgramModel:
+    """Sample: for each of the most frequent labels, rows in the order of a hash of
+    their ids, up to per_language of them and sample_bytes (the first counts always)."""
+    i, lang, text = F.col(id_col).cast("long").alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(i, lang, F.octet_length(text).alias("size"))
+    counts = known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_labels)
+    # of a frequent label only the low end of the hashes is ranked
+    h = F.xxhash64("i")
+    low = known.join(F.broadcast(counts), "l").where((h / F.lit(2.0**64) + 0.5) * F.col("n") <= 2 * per_language + 50)
+    order = Window.partitionBy("l").orderBy(h, "i", "size")
+    ranked = low.withColumn("rank", F.row_number().over(order)).withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    picks = ranked.where((F.col("rank") <= per_language) & ((F.col("upto") <= sample_bytes) | (F.col("rank") == 1))).select("i", "l").distinct()
+    # at most per_language ids of each of most_labels labels
+    rows = docs.select(i, lang, text).join(F.broadcast(picks), ["i", "l"]).groupBy("i", "l").agg(F.min_by("t", F.xxhash64("t")).alias("t")).orderBy("i", "l").collect()
+    if not rows:
         return NgramModel(["und"], {}, np.zeros((1, 1)))
-    # at most per_language ids of each language
-    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
-    rows = texts.join(F.broadcast(picks.distinct()), ["i", "l"]).orderBy("i", "t").limit(2 * per_language * len(langs)).collect()
     return fit_ngrams([(r["t"], r["l"]) for r in rows])
 
 
@@ -276,10 +284,22 @@ def fuse(ev: DataFrame, tables: dict, langs: list[str], threshold: float = THRES
     return out.select(*[c for c in ev.columns if c not in ("ll", "lang")], "lang", "posterior", "accepted")
 
 
-def identify_documents(docs: DataFrame, model: NgramModel, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host, evidence, lang, posterior, accepted."""
+def document_evidence(docs: DataFrame, host_col: str, url_col: str, html_col: str) -> dict[str, Column]:
+    """Host, declared language and suffix of documents, from the columns they have."""
     null = F.lit(None).cast("string")
-    ev = text_evidence(docs, model, F.col(text_col), {"doc_id": F.col(id_col).cast("long"), "host": F.col(host_col).cast("string"), "declared": null, "suffix": null})
+    url = F.col(url_col).cast("string") if url_col in docs.columns else None
+    host = F.col(host_col).cast("string") if host_col in docs.columns else null
+    return {
+        "host": host if url is None else F.coalesce(address_host(url), host),
+        "declared": markup_language(F.col(html_col).cast("string")) if html_col in docs.columns else null,
+        "suffix": null if url is None else address_suffix(url),
+    }
+
+
+def identify_documents(docs: DataFrame, model: NgramModel, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """doc_id, host, evidence, lang, posterior, accepted. Addresses and markup are
+    evidence where docs has such columns."""
+    ev = text_evidence(docs, model, F.col(text_col), {"doc_id": F.col(id_col).cast("long"), **document_evidence(docs, host_col, url_col, html_col)})
     ev = stored(ev, "text-evidence")
     return fuse(ev, priors(ev, model.langs), model.langs).select("doc_id", "host", "evidence", "lang", "posterior", "accepted")
 
@@ -292,15 +312,13 @@ def identify_pages(pages: DataFrame, model: NgramModel, *, id_col: str = "page_i
     return fuse(ev, priors(ev, model.langs), model.langs).select("page_id", "host", "declared", "suffix", "evidence", "lang", "posterior", "accepted")
 
 
-def accepted_documents(docs: DataFrame, model: NgramModel, *, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs without the rows that identification rejects.
+def accepted_documents(docs: DataFrame, model: NgramModel, *, text_col: str = "text", host_col: str = "source", url_col: str = "url", html_col: str = "html", lang_col: str = "lang", wanted: list[str] | None = None) -> DataFrame:
+    """docs without the rows that identification rejects, and with the language that
+    it found in lang_col, if docs has that column.
 
-    The texts are read twice, once for the host priors and once to judge, so
-    that no copy of them is written.
+    wanted: languages to keep, all if None. The texts are read once: rows and their
+    evidence are written, as the host priors need all rows before any is judged.
     """
-    null = F.lit(None).cast("string")
-    ev = text_evidence(docs, model, F.col(text_col), {"host": F.col(host_col).cast("string"), "declared": null, "suffix": null})
-    tables = priors(ev, model.langs)
     names = fresh(docs, "_ll", "_evidence")
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.DoubleType())), T.StructField(names[1], T.LongType())])
@@ -312,6 +330,10 @@ def accepted_documents(docs: DataFrame, model: NgramModel, *, text_col: str = "t
         ll, words = held[0].of(strings(batch.column(at)))
         return pa.RecordBatch.from_arrays([*batch.columns, ll, words], names=schema.names)
 
-    scored = map_batches(docs, schema, run, SLICE)
-    row = scored.select(F.struct(*docs.columns).alias("_row"), F.col(host_col).cast("string").alias("host"), null.alias("declared"), null.alias("suffix"), F.col(names[0]).alias("ll"), F.col(names[1]).alias("evidence"))
-    return fuse(row, tables, model.langs).where("accepted").select("_row.*")
+    scored = stored(map_batches(docs, schema, run, SLICE), "language-evidence")
+    own = [F.col(names[0]).alias("ll"), F.col(names[1]).alias("evidence"), *(c.alias(n) for n, c in document_evidence(docs, host_col, url_col, html_col).items())]
+    tables = priors(scored.select(*own), model.langs)
+    judged = fuse(scored.select(F.struct(*docs.columns).alias("_row"), *own), tables, model.langs).where("accepted")
+    if wanted is not None:
+        judged = judged.where(F.col("lang").isin(wanted))
+    return judged.select(*(F.col("lang").cast(docs.schema[c].dataType).alias(c) if c == lang_col else F.col("_row")[c].alias(c) for c in docs.columns))
