@@ -222,19 +222,16 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, *, max_rules: int = 12, max
             break
         held = {k: v[left & ~grow] for k, v in x.items()}
         held_bad = bad[left & ~grow]
-        whole = Rule(tuple(conditions))
-        # prune from the end; of equal worth, the shorter
+        # prune from the end; of equal worth, the shorter. Worth grows with precision, so
+        # if the best is not precise enough on the rows that pruned it, none is
         choices = [Rule(tuple(conditions[: k + 1])) for k in range(len(conditions))]
         rule = max(choices, key=lambda r: (_worth(r, held, held_bad), -len(r.conditions)))
-        for candidate in (rule, whole):
-            covered = candidate.covers(x) & left
-            hits = int((covered & bad).sum())
-            if hits >= least and hits >= precision * covered.sum():
-                rules.append(candidate)
-                left &= ~covered
-                break
-        else:
+        covered = rule.covers(held)
+        hits = int((covered & held_bad).sum())
+        if not hits or hits < precision * covered.sum() or (rule.covers(x) & left & bad).sum() < least:
             break
+        rules.append(rule)
+        left &= ~rule.covers(x)
     return rules
 
 
