@@ -11,15 +11,19 @@ Shard format (little-endian), in this order:
               null key, bytes of the payload, bytes of the index
     payload   ids of all documents, in ascending key order (null keys first)
     index     one i64 of bits for each level; the levels' bit arrays, padded to
-              8 bytes; for each slot: u32 fingerprint, u32 rows of the key, i64
-              offset of the first row's ids, i64 number of its first row
+              blocks of 64 bytes; one i64 for each block, the bits set before it;
+              for each slot: u32 fingerprint, u32 rows of the key, i64 offset of the
+              first row's ids, i64 number of its first row
     rows      (documents + 1) x i64 offsets in ids; documents x i64 keys
 
 The minimal perfect hash sends a key through levels of shrinking bit arrays: at
 each level, keys that meet no other key set their bit, the others go on to the
 next. The slot of a key is the number of bits set before its own. Slots store a
 fingerprint, so that a key that was never written is refused with a chance of
-1 - 2**-32. Reading a key takes the same few steps however large the shard is.
+1 - 2**-32. The manifest holds the first and last key of each shard; KeyedStore finds
+the shard of a key there and reads a few small ranges of its file (header, one block
+of bits for each level it passes, a rank, a slot, row offsets) and then the ids,
+however large the shard is.
 
 Defined results: null texts are empty (one id, the end id); equal keys are kept
 as adjacent rows under one slot; null keys precede all others and are not in the
@@ -29,6 +33,7 @@ index; an empty table has no rows. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from urllib.parse import urlparse
 
 import numpy as np
@@ -40,7 +45,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ._common import F, T, shared_dir, sliced, strings
 from ._words import ByteLevelEncoder, held
 
-MAGIC = b"CORVIA01"
+MAGIC = b"CORVIA02"
+#: Bytes of a block of bits, whose bits before are counted in the index.
+BLOCK = 64
+ENTRY = np.dtype([("fp", "<u4"), ("rows", "<u4"), ("offset", "<i8"), ("row", "<i8")])
+HEAD = 72
 GAMMA = 2.0  # bits of a level's array for each of its keys
 #: Multipliers of a 64-bit finalising mix (fixed values of the public splitmix64).
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
@@ -98,14 +107,16 @@ def shard_bytes(keys: np.ndarray, nulls: int, counts: np.ndarray, ids: np.ndarra
     distinct, first, repeats = np.unique(keys, return_index=True, return_counts=True)
     mph = PerfectHash.build(distinct)
     slots = mph.slots(distinct)
-    entries = np.zeros(len(distinct), dtype=[("fp", "<u4"), ("rows", "<u4"), ("offset", "<i8"), ("row", "<i8")])
+    entries = np.zeros(len(distinct), ENTRY)
     entries["fp"][slots] = fingerprints(distinct)
     entries["rows"][slots] = repeats
     entries["row"][slots] = first + nulls
     entries["offset"][slots] = offsets[first + nulls]
     packed = [np.packbits(x).tobytes() for x in mph.levels]
-    bits = b"".join(x + b"\0" * (-len(x) % 8) for x in packed)
-    index = np.array([len(x) for x in mph.levels], "<i8").tobytes() + bits + entries.tobytes()
+    bits = b"".join(x + b"\0" * (-len(x) % BLOCK) for x in packed)
+    inside = np.bitwise_count(np.frombuffer(bits, np.uint8)).reshape(-1, BLOCK).sum(axis=1, dtype=np.int64)
+    ranks = (np.cumsum(inside) - inside).astype("<i8").tobytes()
+    index = np.array([len(x) for x in mph.levels], "<i8").tobytes() + bits + ranks + entries.tobytes()
     payload = ids.astype("<u2" if id_bytes == 2 else "<u4").tobytes()
     head = np.array([len(counts), len(distinct), len(ids), id_bytes, len(mph.levels), nulls, len(payload), len(index)], "<i8").tobytes()
     return MAGIC + head + payload + index + offsets.tobytes() + np.concatenate((np.zeros(nulls, "<i8"), keys.astype("<i8"))).tobytes()
@@ -118,7 +129,7 @@ class Shard:
         if data[:8] != MAGIC:
             raise ValueError("not a token shard")
         self.docs, distinct, self.n_ids, self.id_bytes, n_levels, self.nulls, payload, index = np.frombuffer(data, "<i8", 8, 8).tolist()
-        at = 72
+        at = HEAD
         self.ids = np.frombuffer(data, "<u2" if self.id_bytes == 2 else "<u4", self.n_ids, at)
         at += payload
         sizes = np.frombuffer(data, "<i8", n_levels, at).tolist()
@@ -126,9 +137,10 @@ class Shard:
         for n in sizes:
             width = -(-n // 8)
             levels.append(np.unpackbits(np.frombuffer(data, np.uint8, width, pos), count=n))
-            pos += width + (-width % 8)
+            pos += width + (-width % BLOCK)
+        pos += 8 * sum(-(-n // (8 * BLOCK)) for n in sizes)  # the ranks, which unpacked bits don't need
         self.mph = PerfectHash(levels)
-        self.entries = np.frombuffer(data, [("fp", "<u4"), ("rows", "<u4"), ("offset", "<i8"), ("row", "<i8")], distinct, pos)
+        self.entries = np.frombuffer(data, ENTRY, distinct, pos)
         self.offsets = np.frombuffer(data, "<i8", self.docs + 1, at + index)
         self.keys = np.frombuffer(data, "<i8", self.docs, at + index + 8 * (self.docs + 1))
 
@@ -171,10 +183,6 @@ class Shard:
         return [self.ids[self.offsets[r] : self.offsets[r + 1]] for r in range(row, row + n)]
 
 
-def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if urlparse(uri).scheme else (pafs.LocalFileSystem(), uri)
-
-
 def write_file(uri: str, data: bytes) -> None:
     """Under a name of its own first, then renamed: a task that is run twice, or
     lost halfway, leaves one whole file."""
@@ -187,7 +195,81 @@ def write_file(uri: str, data: bytes) -> None:
     store.move(part, path)
 
 
-MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("documents", T.LongType()), T.StructField("n_ids", T.LongType())])
+def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri) if urlparse(uri).scheme else (pafs.LocalFileSystem(), uri)
+
+
+class KeyedShard:
+    """A shard file read by ranges: read(offset, length) gives bytes of it."""
+
+    def __init__(self, read):
+        self.read = read
+        head = read(0, HEAD)
+        if head[:8] != MAGIC:
+            raise ValueError("not a token shard")
+        self.docs, self.distinct, _, self.id_bytes, levels, _, payload, index = np.frombuffer(head, "<i8", 8, 8).tolist()
+        self.sizes = np.frombuffer(read(HEAD + payload, 8 * levels), "<i8").tolist()
+        blocks = [-(-n // (8 * BLOCK)) for n in self.sizes]
+        self.first = np.concatenate(([0], np.cumsum(blocks))).astype(int).tolist()  # block numbers of the levels
+        self.bits = HEAD + payload + 8 * levels
+        self.ranks = self.bits + BLOCK * self.first[-1]
+        self.slots = self.ranks + 8 * self.first[-1]
+        self.rows = HEAD + payload + index
+
+    def slot(self, key: np.ndarray) -> int:
+        """-1 for some keys that were never added."""
+        for k, size in enumerate(self.sizes):
+            at = int(mix(key, k)[0] % np.uint64(size))
+            block = self.first[k] + at // (8 * BLOCK)
+            bits = int.from_bytes(self.read(self.bits + BLOCK * block, BLOCK), "big")
+            after = 8 * BLOCK - 1 - at % (8 * BLOCK)
+            if bits >> after & 1:
+                return int(np.frombuffer(self.read(self.ranks + 8 * block, 8), "<i8")[0]) + (bits >> after + 1).bit_count()
+        return -1
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of each row with this key."""
+        own = np.array([key], np.int64)
+        slot = self.slot(own)
+        if slot < 0:
+            return []
+        entry = np.frombuffer(self.read(self.slots + ENTRY.itemsize * slot, ENTRY.itemsize), ENTRY)[0]
+        if entry["fp"] != fingerprints(own)[0]:
+            return []
+        at = np.frombuffer(self.read(self.rows + 8 * int(entry["row"]), 8 * (int(entry["rows"]) + 1)), "<i8")
+        data = self.read(HEAD + self.id_bytes * int(at[0]), self.id_bytes * int(at[-1] - at[0]))
+        return np.split(np.frombuffer(data, "<u2" if self.id_bytes == 2 else "<u4"), (at[1:-1] - at[0]).tolist())
+
+
+class KeyedStore:
+    """Access by key over all shards of a manifest: the shards are in key order, so a
+    key's are found by bisection; their index blocks are read where they are."""
+
+    def __init__(self, manifest: DataFrame, open_shards: int = 64):
+        rows = sorted(manifest.where("first_key is not null").select("first_key", "last_key", "path").collect())
+        self.first, self.last, self.path = (list(x) for x in zip(*rows)) if rows else ([], [], [])
+        self.opened: dict[str, tuple] = {}
+        self.open_shards = open_shards
+
+    def _shard(self, path: str) -> KeyedShard:
+        if path not in self.opened:
+            if len(self.opened) >= self.open_shards:
+                self.opened.pop(next(iter(self.opened)))[0].close()
+            store, name = _file_system(path)
+            file = store.open_input_file(name)
+            self.opened[path] = file, KeyedShard(lambda at, n: file.read_at(n, at))
+        return self.opened[path][1]
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of each row with this key, in the order of the shards."""
+        out: list[np.ndarray] = []
+        for k in range(bisect_left(self.last, key), bisect_right(self.first, key)):
+            out += self._shard(self.path[k]).get(key)
+        return out
+
+
+#: first_key and last_key are null in a shard whose rows have no key.
+MANIFEST = T.StructType([T.StructField("path", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("documents", "n_ids", "first_key", "last_key"))])
 ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
@@ -214,8 +296,10 @@ def write_shards(docs: DataFrame, vocab: str, folder: str, *, id_col: str = "doc
             nulls, keys, counts, ids = (list(x) for x in zip(*held_rows))
             path = f"{folder}/ids/shard-{part:06d}-{files:04d}.bin"
             ids, counts = np.concatenate(ids), np.concatenate(counts)
-            write_file(path, shard_bytes(np.concatenate(keys), sum(nulls), counts, ids, id_bytes))
-            row = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(counts)], pa.int64()), pa.array([len(ids)], pa.int64())], names=MANIFEST.names)
+            keys = np.concatenate(keys)
+            write_file(path, shard_bytes(keys, sum(nulls), counts, ids, id_bytes))
+            ends = [int(keys[0]), int(keys[-1])] if len(keys) else [None, None]
+            row = pa.RecordBatch.from_arrays([pa.array([path]), *(pa.array([x], pa.int64()) for x in (len(counts), len(ids), *ends))], names=MANIFEST.names)
             held_rows, files = [], files + 1
             return row
 
