@@ -141,7 +141,9 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
         attempt = TaskContext.get().taskAttemptId()
         store, root = _file_system(folder)
         store.create_dir(f"{root}/archives", recursive=True)
-        name = f"part-{part:06d}.warc"
+        # the index names the file of the attempt that wrote it, so that a second run of a
+        # task, whose rows may come in another order, can't part the two
+        name = f"part-{part:06d}-{attempt}.warc"
         stream, at = None, 0
         index = []
         for batch in batches:
@@ -151,15 +153,13 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
                     payload = html.encode("utf-8")
                     data = record_bytes(page, url, payload, target, revisit)
                     if stream is None:
-                        stream = store.open_output_stream(f"{root}/archives/_{attempt}-{name}")
+                        stream = store.open_output_stream(f"{root}/archives/{name}")
                     stream.write(data)
                     index.append((page, url, name, at, len(data), payload_digest(payload), "revisit" if revisit else "response"))
                     at += len(data)
         if stream is None:
             return
         stream.close()
-        # whole files only: a second run of the task replaces the first one's
-        store.move(f"{root}/archives/_{attempt}-{name}", f"{root}/archives/{name}")
         for block in range(0, len(index), 10_000):
             cols = list(zip(*index[block : block + 10_000]))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
