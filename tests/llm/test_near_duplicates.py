@@ -125,3 +125,62 @@ def test_one_document_of_each_group_stays(spark, documents, odd_docs):
         assert kept.columns == docs.columns
         ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
         assert Counter(i for i in ids if i is not None) == Counter(want)
+
+
+def test_components_without_ids_keep_one_row(spark):
+    """Texts at a small distance, none with an id: one stays, not one of each text."""
+    rng = random.Random(6)
+    while True:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        near = [*words[:-1], f"w{rng.randrange(10**6)}"]
+        apart = (brute_fingerprint(" ".join(words)) ^ brute_fingerprint(" ".join(near))).bit_count()
+        if 0 < apart <= 4:
+            break
+    other = " ".join(f"x{k}" for k in range(200))
+    docs = spark.createDataFrame([(None, " ".join(words)), (None, " ".join(near)), (None, " ".join(near)), (None, other)], "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 2
+
+
+def test_large_buckets_are_dealt_in_proportion(spark, monkeypatch):
+    """Fingerprints that share two blocks: each row is dealt distance + 1 times again,
+    not once for each part of its bucket, and no bucket stays large."""
+    n, limit = 20_000, 500
+    rng = np.random.default_rng(8)
+    low = np.unique(rng.integers(0, 1 << 42, n, dtype=np.uint64))
+    fps = (low | np.uint64(0x2AB5 << 50)).view(np.int64)
+    seen = {}
+    keep = simhash.stored
+
+    def stored(df, label):
+        out = keep(df, label)
+        seen.setdefault(label, []).append(out)
+        return out
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    simhash.links(spark.createDataFrame([(int(f),) for f in fps], "fp long"), 4, limit).count()
+    assert [x.count() for x in seen["simhash-large"]][0] <= 5 * len(fps) and len(seen["simhash-large"]) <= 2
+    assert seen["simhash-buckets"][0].where(f"n > {limit}").count() == 1
+    assert seen["simhash-buckets"][-1].where(f"n > {limit}").count() == 0
+
+
+def test_blocks_of_free_bits_lose_no_pair():
+    rng = random.Random(12)
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), 4):
+            y ^= 1 << b
+        masks = [a | b for k, a in enumerate(simhash.block_masks(6)) for b in simhash.block_masks(6)[k + 1 :]]
+        met = [m for m in masks if x & m == y & m]
+        assert met
+        for _ in range(4):
+            met = [s for m in met for s in simhash.sub_masks(m, 5) if x & s == y & s][:1]
+            assert met
+
+
+def test_pivots_discard_most_pairs():
+    """Of one bucket's random pairs, few are left to verify."""
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 1 << 43, 3000, dtype=np.uint64))
+    _, verified = simhash.bucket_links(fps, 4)
+    assert verified <= 0.03 * len(fps) * (len(fps) - 1) / 2

@@ -42,6 +42,18 @@ def test_filtering_stages_keep_columns(spark, sf_dir, odd_docs):
         assert stage(spark, odd_docs.limit(0), sf_dir).count() == 0
 
 
+def test_planted_documents_are_rejected_and_others_kept(spark, sf_dir):
+    """Language ID: foreign and junk texts go, clean ones stay and get their language."""
+    from tests.llm.test_text_models import FOREIGN
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    planted = spark.createDataFrame([(10**9 + k, t, "en", "src0", len(t)) for k, t in enumerate([*FOREIGN, "12 34 -- 56", "", None]) for t in [t or ""]], docs.schema)
+    left = corpus_pipeline.identify(spark, docs.unionByName(planted), sf_dir).select("doc_id", "lang").collect()
+    assert {r["doc_id"] for r in left} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    labels = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    assert sum(labels[r["doc_id"]] == r["lang"] for r in left) >= 0.98 * len(left)
+
+
 def test_entry_lists_every_query():
     import __spark_entry__ as entry
 

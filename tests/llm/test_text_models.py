@@ -1,4 +1,6 @@
 import itertools
+import math
+import re
 import zlib
 from collections import Counter
 
@@ -87,6 +89,78 @@ def test_toxicity_query_parts(spark, odd_docs, no_docs, trained):
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
 
 
+def chained(score, begins, lengths, ends, trans, start, weight):
+    """The same sequences without cuts."""
+    last = np.flatnonzero(ends)
+    heads = np.concatenate(([0], last[:-1] + 1))
+    return toxicity.forward_backward(score, heads, np.diff(np.append(heads, len(score))), trans, start, pairs=True, weight=weight)
+
+
+def test_long_sentences_are_chained_exactly():
+    rng = np.random.default_rng(3)
+    for trial in range(30):
+        n = int(rng.integers(1, 900))
+        ends = rng.random(n) < rng.choice([0, 0.002, 0.05])
+        ends[-1] = True
+        score, trans, weight = 3 * rng.normal(size=n), rng.normal(size=(2, 2)), rng.random(n)
+        begins, lengths = toxicity.sequences(n, ends)
+        joined = toxicity.continued(begins, ends)
+        got = toxicity.forward_backward(score, begins, lengths, trans, 0.4, pairs=True, joined=joined, weight=weight)
+        want = chained(score, begins, lengths, ends, trans, 0.4, weight)
+        assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1]) and np.isclose(got[2], want[2])
+
+
+def brute_score(model, text):
+    """Of one text, token by token."""
+    mask = (1 << 64) - 1
+
+    def emission(token):
+        w = token.lower()
+        w = w if w.isalnum() else re.sub(r"^\W+|\W+$", "", w)
+        if not w:
+            return -20.0
+        total = model.bias + model.weights[zlib.crc32(w.encode()) % toxicity.BUCKETS]
+        row = f"<{w}>"
+        for n in toxicity.GRAMS:
+            for i in range(len(row) - n + 1):
+                h = n
+                for c in row[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) & mask
+                h = ((h ^ (h >> 29)) * 0x9E3779B97F4A7C15) & mask
+                total += model.weights[h >> (64 - toxicity.BUCKET_BITS)]
+        return float(np.float32(min(20, max(-20, total))))
+
+    t = np.exp(model.trans)
+    marginals, sentence = [], []
+    tokens = re.findall(r"[^ \n]+", text or "")
+    for k, token in enumerate(tokens):
+        sentence.append(math.exp(emission(token)))
+        if token[-1] in ".!?" or k == len(tokens) - 1:
+            fwd = [np.array([1.0, sentence[0] * math.exp(model.start)])]
+            for e in sentence[1:]:
+                v = (fwd[-1] @ t) * [1.0, e]
+                fwd.append(v / v.sum())
+            b, own = np.ones(2), []
+            for f, e in zip(reversed(fwd), reversed(sentence)):
+                own.append((f * b)[1] / (f * b).sum())
+                b = t @ (b * [1.0, e])
+                b /= b.sum()
+            marginals += reversed(own)
+            sentence = []
+    top, mass = max(marginals, default=0.0), sum(m for m in marginals if m > 0.1)
+    much, dense = math.log1p(mass), math.log1p(500 * mass / (len(tokens) + 20))
+    return 1 / (1 + math.exp(-np.dot(model.curve, [1.0, top, much, dense, much * dense])))
+
+
+def test_scores_against_brute_force(spark, documents, odd_docs, trained):
+    some = documents.where("n_chars < 3000").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    bad = spark.createDataFrame([(10**6 + k, t) for k, (t, _) in enumerate(trained[1][:20])], "doc_id long, text string")
+    some = some.unionByName(bad)
+    want = Counter((r["doc_id"], round(brute_score(trained[0], r["text"]), 6)) for r in some.collect())
+    got = Counter((r["doc_id"], round(r["score"], 6)) for r in toxicity.score(some, trained[0]).collect())
+    assert got == want
+
+
 def test_labels_with_holes(spark, odd_docs):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.fit(odd_docs, empty) is None
@@ -105,6 +179,17 @@ def test_held_out_accuracy(spark):
     assert sum(r["predicted"] for r in english) >= 0.85 * len(english)
 
 
+def test_held_out_accuracy_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    rows = scored.join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").select("toxic", "predicted", "lang").collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic, clean = ([r["predicted"] for r in rows if r["lang"] == lang and r["toxic"] == y] for y in (1, 0))
+        assert sum(toxic) >= 0.9 * len(toxic) > 0, lang
+        assert sum(clean) <= 0.02 * len(clean), lang
+
+
 # ---- quality --------------------------------------------------------------------
 
 
@@ -143,6 +228,65 @@ def test_quality_of_all_documents(spark, sf_dir, documents, odd_docs, no_docs):
     assert quality_rules.fit(stats, labels.limit(0)) == []
 
 
+def test_verdicts_against_the_rules_by_hand(spark, sf_dir, documents, odd_docs):
+    """kept of the query from the printed rules and brute-force counts."""
+    from corvia.llm import queries
+
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    stats = quality_rules.text_statistics(documents)
+    rules = quality_rules.fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    more = [quality_rules.Rule((quality_rules.Condition("word_length", False, 2.0), quality_rules.Condition("words", True, 3.0))), quality_rules.Rule((quality_rules.Condition("words", True, 5000.0),))]
+
+    def verdict(own, text, used):
+        n = dict(zip(names, own))
+        lines = [x for x in (text or "").split("\n") if x.strip(" \t\v\f\r")]
+        n["n_upper"], n["n_punct"], n["n_lines"] = len(re.findall("[A-Z]", text or "")), len(re.findall("[!?.,;:]", text or "")), len(lines)
+        if n["n_words"] < 50 or 100 * n["n_repeat_words"] > 50 * n["n_words"]:
+            return True, False
+        for r in used:
+            holds = []
+            for part in r.text().split(" and "):
+                name, sign, value = part.split()
+                num, den = quality_rules.RATIOS[name]
+                x = n[num] / max(n[den], 1) if den else n[num]
+                holds.append(x >= float(value) if sign == ">=" else x <= float(value))
+            if all(holds):
+                return False, False
+        return False, True
+
+    for used in (rules, more + rules):
+        for docs in (documents, odd_docs):
+            want = Counter()
+            for r in docs.select("doc_id", "text").collect():
+                own = brute_statistics(r["text"])
+                want[(r["doc_id"], *own, *verdict(own, r["text"], used))] += 1
+            got = quality_rules.judge(quality_rules.text_statistics(docs), used).select("doc_id", *names, "base_failed", "kept")
+            assert Counter(tuple(r) for r in got.collect()) == want
+    query = queries.op10_quality_rules(spark, sf_dir).select("doc_id", *names, "base_failed", "kept")
+    want = Counter()
+    for r in documents.select("doc_id", "text").collect():
+        own = brute_statistics(r["text"])
+        want[(r["doc_id"], *own, *verdict(own, r["text"], rules))] += 1
+    assert Counter(tuple(r) for r in query.collect()) == want
+
+
+def test_rules_that_fail_on_the_pruning_rows_are_refused():
+    rng = np.random.default_rng(4)
+    x = {k: rng.random(900) for k in "abcdef"}
+    assert len(quality_rules.learn(x, rng.random(900) < 0.05)) <= 1  # chance alone
+
+
+def test_held_out_quality(spark):
+    """Learned without a quarter of the labels, judged on it."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = "crc32(cast(doc_id as string)) % 4 = 2"
+    stats = quality_rules.text_statistics(docs.join(labels.select("doc_id"), "doc_id"))
+    rules = quality_rules.fit(stats, labels.where(f"not {out}"))
+    rows = quality_rules.judge(stats, rules).where(f"not base_failed and {out}").join(labels, "doc_id").select("quality", "kept").collect()
+    assert sum(r["kept"] == (r["quality"] == 1) for r in rows) >= 0.98 * len(rows) > 500
+
+
 def test_rules_find_conjunctions():
     rng = np.random.default_rng(2)
     x = {"a": rng.random(3000), "b": rng.random(3000), "c": rng.random(3000)}
@@ -212,6 +356,136 @@ def test_pages_use_markup_and_address(spark, sf_dir, documents):
     assert got[101]["lang"] == "und" and not got[101]["accepted"] and not got[102]["accepted"]
 
 
+def test_held_out_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hidden = "crc32(cast(doc_id as string)) % 4 = 2"
+    model = language_id.fit(docs.selectExpr("doc_id", "text", f"if({hidden}, null, lang) lang"))
+    got = language_id.identify_documents(docs, model).join(docs.selectExpr("doc_id", "lang label"), "doc_id").where(hidden).select("label", "lang").collect()
+    for lang in ("en", "de", "fr", "es"):
+        own = [r["lang"] == lang for r in got if r["label"] == lang]
+        assert sum(own) >= 0.97 * len(own) > 0, lang
+
+
+def brute_posteriors(model, rows):
+    """rows: (text, host, declared, suffix) -> (lang, posterior) of each."""
+    n = len(model.langs)
+
+    def soft(logs):
+        e = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(e) for x in e]
+
+    texts = []
+    for text, *_ in rows:
+        total, letters, size, unknown = [0.0] * n, 0, 0, 0
+        for word in (text or "").replace("\n", " ").split(" "):
+            core = "".join(c for c in re.findall(r"[^\W\d_]", word.lower()))
+            if not core:
+                continue
+            letters += 1
+            w = f"<{core}>"
+            for g in (w[i : i + k] for k in (1, 2, 3) for i in range(len(w) - k + 1)):
+                row = model.table.get(g, 0)
+                total = [a + float(b) for a, b in zip(total, model.logp[row])]
+                if not re.search(r"\d", word):
+                    size, unknown = size + 1, unknown + (row == 0)
+        foreign = unknown > language_id.UNKNOWN_SHARE * size
+        texts.append((None if foreign else [language_id.TEMPER * x for x in total], letters))
+    mass, tables = [0.0] * n, {k: {} for k in ("host", "domain", "declared", "suffix")}
+    for (ll, letters), (_, host, declared, suffix) in zip(texts, rows):
+        if ll is None or not letters:
+            continue
+        p = soft(ll)
+        mass = [a + b for a, b in zip(mass, p)]
+        domain = None if host is None else ".".join(host.split(".")[-2:])
+        for name, key in (("host", host), ("domain", domain), ("declared", declared), ("suffix", suffix)):
+            if key is not None:
+                tables[name][key] = [a + b for a, b in zip(tables[name].get(key, [0.0] * n), p)]
+    whole = [(m + 1) / (sum(mass) + n) for m in mass]
+
+    def smoothed(counts, strength, base):
+        return [(c + strength * b) / (sum(counts) + strength) for c, b in zip(counts, base)]
+
+    out = []
+    for (ll, letters), (_, host, declared, suffix) in zip(texts, rows):
+        prior = whole
+        if host in tables["host"]:
+            prior = smoothed(tables["host"][host], 5.0, smoothed(tables["domain"][".".join(host.split(".")[-2:])], 20.0, whole))
+        logs = [math.log(x) for x in prior]
+        if ll is not None and letters:
+            logs = [a + b for a, b in zip(logs, ll)]
+        for name, key in (("declared", declared), ("suffix", suffix)):
+            if key in tables[name]:
+                logs = [a + math.log((c + 0.05) / (m + 1)) for a, c, m in zip(logs, tables[name][key], mass)]
+        post = soft(logs)
+        if ll is None or not (letters or declared in tables["declared"]):
+            out.append(("und", 0.0))
+        else:
+            out.append((model.langs[post.index(max(post))], max(post)))
+    return out
+
+
+def same_posteriors(got, want):
+    for (lang, p), (lang_want, p_want) in zip(got, want):
+        assert abs(p - p_want) < 1e-6 and (lang == lang_want or abs(p_want - 0.5) < 1e-6)
+
+
+def test_documents_against_brute_force_posteriors(spark, documents, odd_docs):
+    model = language_id.fit(documents)
+    short = documents.withColumn("text", language_id.F.substring("text", 1, 400))  # so that priors matter, too
+    plain = odd_docs.where("doc_id is not null").groupBy("doc_id").agg(language_id.F.min("text").alias("text"), language_id.F.min("source").alias("source"))
+    for docs in (short, plain):
+        rows = {r["doc_id"]: (r["text"], r["source"], None, None) for r in docs.select("doc_id", "text", "source").collect()}
+        got = {r["doc_id"]: (r["lang"], r["posterior"]) for r in language_id.identify_documents(docs, model).collect()}
+        same_posteriors([got[k] for k in rows], brute_posteriors(model, list(rows.values())))
+
+
+def test_pages_against_brute_force_posteriors(spark, sf_dir, documents):
+    model = language_id.fit(documents)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    html = "<html lang='{}'><p>{}</p></html>"
+    more = [(10**6 + k, f"https://www.h{k % 4}.example.{'de' if k % 3 else 'com'}/{'fr' if k % 5 == 0 else 'a'}/x", html.format(["en", "de", "fr"][k % 3], r["text"][: 20 + 7 * k])) for k, r in enumerate(documents.limit(60).collect())]
+    pages = pages.select("page_id", "url", "html").unionByName(spark.createDataFrame(more, "page_id long, url string, html string"))
+    rows = {}
+    for r in pages.collect():
+        url, text = r["url"] or "", r["html"] or ""
+        host = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", url)
+        host = host and host[1].lower()
+        path = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([a-zA-Z]{2})(?:[/?#]|$)", url)
+        top = re.search(r"\.([a-z]{2,})$", host or "")
+        tag = re.search(r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})(?![a-z])", text)
+        seen = re.sub(r"(?s)<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", text))
+        seen = re.sub(r"&[a-zA-Z]+;|&#\d+;", " ", seen)
+        rows[r["page_id"]] = (seen, host, tag and tag[1].lower(), path[1].lower() if path else top and top[1])
+    out = language_id.identify_pages(pages, model).collect()
+    assert all((r["host"], r["declared"], r["suffix"]) == rows[r["page_id"]][1:] for r in out)
+    got = {r["page_id"]: (r["lang"], r["posterior"]) for r in out}
+    same_posteriors([got[k] for k in rows], brute_posteriors(model, list(rows.values())))
+
+
+def test_many_labels_are_bounded(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 40} and more of it", f"l{k % 40:02d}" if k < 200 else "en") for k in range(400)], "doc_id long, text string, lang string")
+    assert language_id.fit(docs, most_labels=3).langs == ["en", "l00", "l01"]
+    assert len(language_id.fit(docs).langs) == 41
+    few = language_id.fit(docs, per_language=2, sample_bytes=1)
+    assert len(few.langs) == 41
+
+
+def test_documents_use_addresses_where_they_have_them(spark, documents):
+    model = language_id.fit(documents)
+    docs = spark.createDataFrame([(1, "", "http://a.com/fr/", "<html lang=fr>"), (2, None, None, None)] + [(10 + k, r["text"], "http://a.com/fr/", "<html lang=fr>") for k, r in enumerate(documents.where("lang = 'fr'").limit(8).collect())], "doc_id long, text string, url string, html string")
+    got = {r["doc_id"]: r for r in language_id.identify_documents(docs, model).collect()}
+    assert got[1]["host"] == "a.com" and got[1]["lang"] == "fr" and got[2]["lang"] == "und"
+
+
+def test_found_languages_are_kept(spark, documents):
+    model = language_id.fit(documents)
+    left = language_id.accepted_documents(documents.withColumn("lang", language_id.F.lit(None).cast("string")), model)
+    both = left.join(documents.selectExpr("doc_id", "lang label"), "doc_id").select("lang", "label").collect()
+    assert sum(r["lang"] == r["label"] for r in both) >= 0.98 * documents.count()
+    only = language_id.accepted_documents(documents, model, wanted=["fr", "es"])
+    assert {r["lang"] for r in only.select("lang").distinct().collect()} == {"fr", "es"}
+
+
 def test_host_priors_are_smoothed(spark):
     """Against the two Dirichlet steps by hand."""
     rows = [("a.x.com", [0.0, -50.0]), ("a.x.com", [0.0, -50.0]), ("b.x.com", [-50.0, 0.0]), ("c.y.org", [-50.0, 0.0])]

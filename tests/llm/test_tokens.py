@@ -46,6 +46,38 @@ def test_any_text_as_the_library(encoders, kind, texts):
     same(encoders[kind], texts)
 
 
+CONTROL = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|endoftext|>\n<|endoftext|> z", " <|endoftext|><|endoftext|> ", "<|ENDOFTEXT|> <|end oftext|>", "end  <|endoftext|>\t<|startoftext|> |<|endoftext|>|"]
+
+
+@pytest.mark.parametrize("kind", ["byte", "word"])
+def test_control_strings_as_the_library_by_itself(encoders, documents, kind):
+    """Against a tokenizer that was only loaded."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary(ENCODERS[kind][1]))
+    texts = CONTROL + [f"{r['text'][:300]} <|endoftext|> {r['text'][300:600]}" for r in documents.limit(50).collect()]
+    ids, bounds = encoders[kind].encode_texts(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    assert 49407 in ids if kind == "word" else 50256 in ids
+
+
+def test_queries_give_the_librarys_ids(spark, tmp_path):
+    """op2 and op5 over documents with control strings."""
+    from tokenizers import Tokenizer
+
+    from corvia.llm import queries
+
+    docs = [(k, t, "en", "src0", len(t)) for k, t in enumerate(CONTROL)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    lib = {n: Tokenizer.from_file(vocabulary(n)) for _, n in ENCODERS.values()}
+    got = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in queries.op2_best_fit_packing(spark, str(tmp_path)).collect())
+    assert got == expected_pieces([d[:2] for d in docs], lib["word_bpe_49k.json"], 4096)
+    for r in queries.op5_token_shards(spark, str(tmp_path)).collect():
+        ids = lib["byte_bpe_50k.json"].encode(CONTROL[r["doc_id"]], add_special_tokens=False).ids + [0]
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_cache_is_renewed():
     calls = []
 
@@ -94,6 +126,35 @@ def test_packing_of_nothing(no_docs):
     assert packing.pack(no_docs, vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_bins_that_do_not_combine_stay_apart(spark, monkeypatch):
+    """640 documents of which no two share a sequence: no task gets all of them."""
+    rng = random.Random(2)
+    sizes = [rng.randint(2100, 3599) for _ in range(640)]
+    docs = spark.createDataFrame([(k, "a " * (n - 1)) for k, n in enumerate(sizes)], "doc_id long, text string").repartition(64)
+    folders = []
+    monkeypatch.setattr(packing, "shared_dir", lambda *a: folders.append(shared_dir(*a)) or folders[-1])
+    got = packing.pack(docs, vocabulary("word_bpe_49k.json"), open_bins=4).collect()
+    assert sorted(r["length"] for r in got) == sorted(sizes)
+    assert len({r["sequence_id"] for r in got}) == 640 and all(r["offset"] == 0 for r in got)
+    # bins that a task of a further round got: those that it gave
+    largest = []
+    for n in range(1, 9):
+        try:
+            rows = spark.read.parquet(f"{folders[0]}/{n}")
+        except Exception:
+            break
+        largest.append(max(r["count"] for r in rows.groupBy(packing.F.input_file_name()).count().collect()))
+    assert len(largest) >= 2 and max(largest) <= 3 * packing.FAN_IN * 4  # dealt in turns, so nearly even
+
+
+def test_packing_in_parts(spark, documents, encoders):
+    """A partition that holds few pieces at once packs nearly as well."""
+    got = packing.pack(documents.coalesce(2), vocabulary("word_bpe_49k.json"), held_pieces=30).collect()
+    rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == expected_pieces(rows, encoders["word"].tok, 4096)
+    assert len({r["sequence_id"] for r in got}) <= -(-sum(r["length"] for r in got) // 4096) * 1.05 + 2
+
+
 def test_best_fit_is_best_fit():
     rng = random.Random(1)
     for _ in range(20):
@@ -167,6 +228,39 @@ def test_keyed_access(spark, documents, encoders):
     assert seen == len(texts) == sum(r["documents"] for r in manifest.collect())
 
 
+def test_keyed_access_across_shards(spark, documents, odd_docs, encoders):
+    """By the manifest's key ranges, with a few small reads in the shard's file."""
+    docs = documents.select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    folder = shared_dir(spark, "keyed")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    manifest = token_shards.write_shards(docs, vocabulary("byte_bpe_50k.json"), folder, shard_ids=5_000)
+    assert manifest.count() > 4
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    store = token_shards.KeyedStore(manifest, open_shards=3)
+    texts = defaultdict(list)
+    for r in docs.collect():
+        texts[r["doc_id"]].append(r["text"] or "")
+    for key, own in texts.items():
+        if key is not None:
+            want = Counter(tuple(encoders["byte"].tok.encode(t, add_special_tokens=False).ids + [0]) for t in own)
+            assert Counter(tuple(x.tolist()) for x in store.get(key)) == want
+    assert len(store.opened) <= 3
+    assert not any(store.get(k) for k in [*range(10**6, 10**6 + 300), -(2**63), 2**63 - 1] if k not in texts)
+
+
+def test_keyed_reads_are_few_and_small():
+    for n in (100, 100_000):
+        keys = np.arange(n, dtype=np.int64) * 7
+        data = token_shards.shard_bytes(keys, 0, np.full(n, 3), np.arange(3 * n) % 50_000, 2)
+        sizes = []
+        shard = token_shards.KeyedShard(lambda at, m: sizes.append(m) or data[at : at + m])
+        for k in range(0, n, max(1, n // 50)):
+            sizes.clear()
+            (ids,) = shard.get(int(keys[k]))
+            assert ids.tolist() == [(3 * k + j) % 50_000 for j in range(3)]
+            assert len(sizes) <= 4 + len(shard.sizes) and sum(sizes) <= 64 * len(shard.sizes) + 100
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(-(2**63), 2**63 - 1), unique=True, max_size=300))
 def test_hash_is_perfect_and_minimal(keys):
