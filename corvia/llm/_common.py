@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes handled at once inside a Python worker; bounds its temporaries.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -56,6 +58,7 @@ def map_batches(df: DataFrame, schema: T.StructType, fn: Callable[[pa.RecordBatc
     """mapInArrow with large batches cut to about `limit` bytes."""
 
     def run(batches):
+        release()
         for batch in batches:
             for part in sliced(batch, limit):
                 out = fn(part)
@@ -67,6 +70,17 @@ def map_batches(df: DataFrame, schema: T.StructType, fn: Callable[[pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give back what the worker's earlier tasks left: it serves one after another,
+    and allocators keep freed memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def sliced(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
     if not n:
@@ -112,4 +126,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["F", "T", "fresh", "map_batches", "segment_sum", "shared_dir", "sliced", "stored", "strings", "table", "utf8_view"]
+__all__ = ["F", "T", "fresh", "map_batches", "release", "segment_sum", "shared_dir", "sliced", "stored", "strings", "table", "utf8_view"]

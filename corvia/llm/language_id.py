@@ -44,7 +44,7 @@ SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 1_000, 32 << 20
 MOST_LABELS = 200
 GRAMS = (1, 2, 3)
 #: Text bytes handled at once: a word takes a row of numbers for all languages.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Share of the summed n-gram evidence that counts: n-grams overlap.
 TEMPER = 0.25
 LETTERS = re.compile(r"[^\W\d_]")

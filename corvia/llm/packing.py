@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._common import F, T, map_batches, shared_dir, sliced, strings
+from ._common import F, T, map_batches, release, shared_dir, sliced, strings
 from ._words import WordEndEncoder, held
 
 #: Bins with at least this share of the capacity are emitted in any round.
@@ -140,6 +140,7 @@ def pack(docs: DataFrame, vocab: str, *, id_col: str = "doc_id", text_col: str =
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def first(batches):
+        release()
         items = []
         encoder = held(WordEndEncoder, vocab)
         out = _Numbered(0)
