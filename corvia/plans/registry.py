@@ -333,7 +333,9 @@ def _curvature(spark, sf):
 
 @query(
     "band_edges",
-    f"""{CLOUD_CTE} SELECT a.recording, a.frame_idx, a.point_idx AS a, b.point_idx AS b FROM local a JOIN local b ON a.recording = b.recording AND a.frame_idx = b.frame_idx AND a.point_idx < b.point_idx AND abs(a.station - b.station) <= 1.2
+    f"""{CLOUD_CTE}, p AS (SELECT *, CAST(floor(station / 1.2) AS BIGINT) AS own FROM local), x AS (SELECT *, unnest([own, own + 1]) AS cell FROM p)
+    SELECT a.recording, a.frame_idx, least(a.point_idx, b.point_idx) AS a, greatest(a.point_idx, b.point_idx) AS b FROM x a JOIN p b ON a.recording = b.recording AND a.frame_idx = b.frame_idx AND a.cell = b.own
+    WHERE (a.own < b.own OR a.point_idx < b.point_idx) AND abs(a.station - b.station) <= 1.2
     AND abs(a."offset" - b."offset") <= greatest(0.25, 0.006 * a.range_m, 0.006 * b.range_m) AND abs(a.height - b.height) <= greatest(0.20, 0.006 * a.range_m, 0.006 * b.range_m)""",
 )
 def _band(spark, sf):
@@ -342,7 +344,8 @@ def _band(spark, sf):
 
 @query(
     "grid_edges",
-    f"""{CLOUD_CTE}, t AS (SELECT * FROM local WHERE height > 1.5) SELECT a.recording, a.frame_idx, a.point_idx AS a, b.point_idx AS b FROM t a JOIN t b ON a.recording = b.recording AND a.frame_idx = b.frame_idx AND a.point_idx < b.point_idx
+    f"""{CLOUD_CTE}, t AS (SELECT * FROM local WHERE height > 1.5), p AS (SELECT *, CAST(floor(station / 3) AS BIGINT) AS cs, CAST(floor("offset" / 3) AS BIGINT) AS cd FROM t), n AS (SELECT *, cs + i AS ns, cd + j AS nd FROM p, (VALUES (-1), (0), (1)) u(i), (VALUES (-1), (0), (1)) v(j))
+    SELECT a.recording, a.frame_idx, a.point_idx AS a, b.point_idx AS b FROM n a JOIN p b ON a.recording = b.recording AND a.frame_idx = b.frame_idx AND a.ns = b.cs AND a.nd = b.cd AND a.point_idx < b.point_idx
     AND (a.station - b.station)*(a.station - b.station) + (a."offset" - b."offset")*(a."offset" - b."offset") <= 9 AND (a."offset" * b."offset" > 0 OR (abs(a."offset") < 0.6 AND abs(b."offset") < 0.6 AND abs(a."offset" - b."offset") < 0.5))""",
 )
 def _grid_edges(spark, sf):
@@ -351,7 +354,8 @@ def _grid_edges(spark, sf):
 
 @query(
     "grid_edges_all",
-    f"""{CLOUD_CTE} SELECT a.recording, a.frame_idx, a.point_idx AS a, b.point_idx AS b FROM local a JOIN local b ON a.recording = b.recording AND a.frame_idx = b.frame_idx AND a.point_idx < b.point_idx
+    f"""{CLOUD_CTE}, p AS (SELECT *, CAST(floor(station / 3) AS BIGINT) AS cs, CAST(floor("offset" / 3) AS BIGINT) AS cd FROM local), n AS (SELECT *, cs + i AS ns, cd + j AS nd FROM p, (VALUES (-1), (0), (1)) u(i), (VALUES (-1), (0), (1)) v(j))
+    SELECT a.recording, a.frame_idx, a.point_idx AS a, b.point_idx AS b FROM n a JOIN p b ON a.recording = b.recording AND a.frame_idx = b.frame_idx AND a.ns = b.cs AND a.nd = b.cd AND a.point_idx < b.point_idx
     AND (a.station - b.station)*(a.station - b.station) + (a."offset" - b."offset")*(a."offset" - b."offset") <= 9 AND (a."offset" * b."offset" > 0 OR (abs(a."offset") < 0.6 AND abs(b."offset") < 0.6 AND abs(a."offset" - b."offset") < 0.5))""",
 )
 def _grid_edges_all(spark, sf):
@@ -400,7 +404,9 @@ def _gauge(spark, sf):
 
 @query(
     "ring_pairs",
-    f"""{CLOUD_CTE} SELECT a.recording, a.frame_idx, a.ring, a.point_idx AS a, b.point_idx AS b, round((a."offset" + b."offset") / 2, 6) AS centre, round((a.station + b.station) / 2, 6) AS station FROM local a JOIN local b ON a.recording = b.recording AND a.frame_idx = b.frame_idx AND a.ring = b.ring AND abs(b."offset" - a."offset" - 1.52) < 0.1 AND abs(b.height - a.height) < 0.25""",
+    f"""{CLOUD_CTE}, p AS (SELECT *, CAST(floor("offset" / 1.62) AS BIGINT) AS own FROM local), x AS (SELECT *, unnest([own, own + 1]) AS cell FROM p)
+    SELECT a.recording, a.frame_idx, a.ring, a.point_idx AS a, b.point_idx AS b, round((a."offset" + b."offset") / 2, 6) AS centre, round((a.station + b.station) / 2, 6) AS station
+    FROM x a JOIN p b ON a.recording = b.recording AND a.frame_idx = b.frame_idx AND a.ring = b.ring AND a.cell = b.own WHERE abs(b."offset" - a."offset" - 1.52) < 0.1 AND abs(b.height - a.height) < 0.25""",
 )
 def _ring_pairs(spark, sf):
     return J.ring_pairs(local(spark, sf)).select(*P.K, "ring", "a", "b", *six("centre", "station"))
@@ -722,6 +728,57 @@ def _json(spark, sf):
     return result_json(r)
 
 
+# ---- axes, bends, frames and topics -----------------------------------------
+
+_AXES = S.frame_basis((0.1, -1.0, 0.05), (0.0, 0.05, 1.0))
+_ORIGIN = (0.2, -0.1, 0.3)
+
+
+def _dot_sql(axis) -> str:
+    return " + ".join(f"({c} - CAST({o!r} AS DOUBLE)) * CAST({a!r} AS DOUBLE)" for c, o, a in zip("xyz", _ORIGIN, axis))
+
+
+@query("project_axes", f"""{CLOUD_CTE} SELECT {POINT}, round({_dot_sql(_AXES[0])}, 6) AS forward, round({_dot_sql(_AXES[1])}, 6) AS lateral, round({_dot_sql(_AXES[2])}, 6) AS up FROM cloud""")
+def _project_axes(spark, sf):
+    f, lat, up = S.project(F.col("x"), F.col("y"), F.col("z"), _ORIGIN, _AXES)
+    return fixtures.cloud(spark, sf).select(*P.K, "point_idx", F.round(f, 6).alias("forward"), F.round(lat, 6).alias("lateral"), F.round(up, 6).alias("up"))
+
+
+@query(
+    "bend_offset",
+    f"""{CLOUD_CTE}, b AS (SELECT *, ring * CAST(0.5 AS DOUBLE) AS onset, greatest(station - ring * CAST(0.5 AS DOUBLE), 0) / greatest(80 - ring * CAST(0.5 AS DOUBLE), 1e-9) AS t FROM local)
+    SELECT {POINT}, round("offset" * (CAST(0.7 AS DOUBLE) * t * t + CAST(0.3 AS DOUBLE) * t * t * t), 6) AS bend FROM b""",
+)
+def _bend_offset(spark, sf):
+    return local(spark, sf).select(*P.K, "point_idx", F.round(S.bend(F.col("station"), F.col("offset"), F.col("ring") * 0.5, 80.0, 0.7), 6).alias("bend"))
+
+
+@query("with_geometry", f"""{CLOUD_CTE}, g AS (SELECT recording, frame_idx, max(station) AS extent_m, avg("offset") AS centre_m FROM local WHERE ring < 64 GROUP BY ALL) SELECT {POINT}, round(station / extent_m, 6) AS share, round("offset" - centre_m, 6) AS aside FROM local JOIN g USING (recording, frame_idx)""")
+def _with_geometry(spark, sf):
+    p = local(spark, sf)
+    g = p.where("ring < 64").groupBy(*P.K).agg(F.max("station").alias("extent_m"), F.avg("offset").alias("centre_m"))
+    return J.with_geometry(p, g).select(*P.K, "point_idx", F.round(F.col("station") / F.col("extent_m"), 6).alias("share"), F.round(F.col("offset") - F.col("centre_m"), 6).alias("aside"))
+
+
+@query("first_frames", f"""{CLOUD_CTE} SELECT recording, frame_idx, count(*) AS points FROM local WHERE frame_idx < 7 GROUP BY ALL""")
+def _first_frames(spark, sf):
+    return R.first_frames(local(spark, sf), 7).groupBy(*P.K).agg(F.count("*").alias("points"))
+
+
+@query(
+    "topic_messages",
+    """SELECT 'bag' AS recording, event_id AS id, user_id % 25 AS topic_id, n_name AS topic FROM events JOIN nation ON user_id % 25 = n_nationkey WHERE n_nationkey % 2 = 1 AND n_nationkey % 3 <> 0""",
+)
+def _topic_messages(spark, sf):
+    fixtures.register(spark, sf, "events", "nation")
+    messages = spark.sql("SELECT 'bag' AS recording, event_id AS id, user_id % 25 AS topic_id FROM events")
+    topics = spark.sql(
+        "SELECT 'bag' AS recording, CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CASE WHEN n_nationkey % 2 = 1 THEN 'sensor_msgs/msg/PointCloud2' ELSE 'other' END AS type, "
+        "CASE WHEN n_nationkey % 3 <> 0 THEN 'cdr' ELSE 'json' END AS serialization_format FROM nation"
+    )
+    return J.topic_messages(messages, topics).select("recording", "id", "topic_id", "topic")
+
+
 def queries() -> dict[str, Query]:
     from . import more
 
