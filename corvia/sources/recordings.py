@@ -127,6 +127,7 @@ def write_results(results: DataFrame, folder: str) -> None:
     csv = results.select(
         "recording", "frame_idx", "timestamp_ns", "status", "path_clear", "distance_m", "confidence", F.concat_ws(";", F.col("blocking_ids").cast("array<string>")).alias("blocking_ids"),
         F.concat_ws(";", F.col("caution_ids").cast("array<string>")).alias("caution_ids"), "travel_m", "route_available",
+        *(c for c in ("elapsed_ms",) if c in results.columns),
     )
     csv.repartitionByRange("recording", "frame_idx").sortWithinPartitions("recording", "frame_idx").write.mode("errorifexists").option("header", True).csv(f"{folder}/frames.csv")
     summary = results.groupBy("recording").agg(

@@ -9,12 +9,14 @@ order after that resets the state, as a gap does.
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schema import schema
-from .state import EgoMotion, Recording, RouteFilter
+from .state import EgoMotion, Recording
 
 FRAME = schema(
     "recording string, frame_idx int, frame_id string, timestamp_ns bigint, travel_m double, extent_m double, "
@@ -23,29 +25,48 @@ FRAME = schema(
 RESULT = schema(
     "recording string, frame_idx int, timestamp_ns bigint, status string, path_clear boolean, distance_m double, confidence double, event string, blocking_ids array<bigint>, caution_ids array<bigint>, "
     "travel_m double, route_available boolean, processing_ok boolean, error string, reset_reason string, "
-    "tracks array<struct<id:bigint,decision:string,relation:string,range_m:double,exists:boolean,confirmed:boolean,seen:boolean,kind:string,station_m:double,offset_m:double,evidence:double,speed_m_per_frame:double>>"
+    "tracks array<struct<id:bigint,decision:string,relation:string,range_m:double,exists:boolean,confirmed:boolean,seen:boolean,kind:string,station_m:double,offset_m:double,evidence:double,speed_m_per_frame:double,low:array<double>,high:array<double>>>, elapsed_ms double"
 )
 MOTION = schema("recording string, frame_idx int, travel_m double, yaw_rad double, forward_m double, lateral_m double, measured boolean, locked boolean")
 
 
+def _corner(of) -> Column:
+    """Of the box around a group's points (station, offset, height), and so on."""
+
+    def along(k):  # a second parameter would be the element's position
+        return F.transform("points", lambda p: p[k])
+
+    return F.array(*(of(along(k)) for k in range(3)))
+
+
 def frame_rows(frames: DataFrame, motion: DataFrame, geometry: DataFrame, obstacles: DataFrame) -> DataFrame:
     """FRAME: one summary row for each frame; no cloud goes into the ordered pass."""
     k = ["recording", "frame_idx"]
     item = F.struct(
         F.col("group_id").cast("int").alias("group_id"), "kind", F.col("station_m").alias("station"), F.col("track_offset_m").alias("offset"), "range_m", "confidence", "reasons",
-        F.array("station_m", "offset_m").alias("low"), F.array("station_m", "offset_m").alias("high"), "points",
+        _corner(F.array_min).alias("low"), _corner(F.array_max).alias("high"), "points",
     )
     seen = obstacles.groupBy(*k).agg(F.sort_array(F.collect_list(item)).alias("seen"))
     d = frames.join(motion.select(*k, "travel_m"), k, "left").join(geometry.select(*k, "extent_m"), k, "left").join(seen, k, "left")
     none = F.array().cast(FRAME["seen"].dataType)
-    return d.select(*k, "frame_id", "timestamp_ns", F.coalesce("travel_m", F.lit(0.0)).alias("travel_m"), "extent_m", F.coalesce(F.col("seen").cast(FRAME["seen"].dataType), none).alias("seen"))
+    more = ["error"] if "error" in frames.columns else []
+    return d.select(*k, "frame_id", "timestamp_ns", *more, F.coalesce("travel_m", F.lit(0.0)).alias("travel_m"), "extent_m", F.coalesce(F.col("seen").cast(FRAME["seen"].dataType), none).alias("seen"))
 
 
 def _result(row, rec: Recording) -> dict:
+    """RESULT of one frame; elapsed_ms is its time in the ordered pass. A frame whose
+    message could not be decoded (column error, if there is one) clears the state."""
+    began = time.perf_counter()
+    own = {"recording": row.recording, "frame_idx": int(row.frame_idx), "timestamp_ns": int(row.timestamp_ns)}
+    error = getattr(row, "error", None)
+    if isinstance(error, str):
+        rec.reset()
+        none = dict.fromkeys(("path_clear", "distance_m", "confidence", "event", "reset_reason"))
+        return own | none | {"travel_m": 0.0, "route_available": False, "status": "CAUTION", "blocking_ids": [], "caution_ids": [], "tracks": [], "processing_ok": False, "error": error, "elapsed_ms": 1e3 * (time.perf_counter() - began)}
     extent = None if row.extent_m is None or pd.isna(row.extent_m) else float(row.extent_m)
     seen = [dict(o) | {"reasons": list(o["reasons"] if o["reasons"] is not None else []), "points": [list(p) for p in o["points"]], "low": list(o["low"]), "high": list(o["high"])} for o in (row.seen if row.seen is not None else [])]
     out = rec.frame(row.frame_id, int(row.timestamp_ns), seen, float(row.travel_m), extent)
-    return {"recording": row.recording, "frame_idx": int(row.frame_idx), "timestamp_ns": int(row.timestamp_ns), "travel_m": float(row.travel_m), "route_available": extent is not None} | {k: v for k, v in out.items() if k != "lost"}
+    return own | {"travel_m": float(row.travel_m), "route_available": extent is not None} | {k: v for k, v in out.items() if k != "lost"} | {"elapsed_ms": 1e3 * (time.perf_counter() - began)}
 
 
 def process_batch(frames: DataFrame, max_gap_s: float = 0.25) -> DataFrame:
@@ -115,8 +136,11 @@ def ego_motion(points: DataFrame, geometry: DataFrame | None = None) -> DataFram
 
 
 def smooth_routes(geometry: DataFrame, motion: DataFrame) -> DataFrame:
-    """The filtered route of every frame, from raw routes and motion."""
+    """The filtered route of every frame, from raw routes and motion. The filter takes
+    a bend's direction from far stations, recovers from a wrong shape and lets the
+    route bend one way only (EarlyDirectionRouteFilter)."""
     from ..operators.frames import GEOMETRY, _geometry_row, geometry_frame, geometry_of
+    from .filters import EarlyDirectionRouteFilter
 
     k = ["recording", "frame_idx"]
     rows = geometry.join(motion.select(*k, "yaw_rad", "forward_m", "lateral_m"), k, "left")
@@ -127,7 +151,7 @@ def smooth_routes(geometry: DataFrame, motion: DataFrame) -> DataFrame:
             out = []
             for row in pdf.to_dict("records"):
                 if flt is None or row["recording"] != name:
-                    flt, name = RouteFilter(), row["recording"]
+                    flt, name = EarlyDirectionRouteFilter(), row["recording"]
                 step = tuple(0.0 if pd.isna(row[c]) else float(row[c]) for c in ("yaw_rad", "forward_m", "lateral_m"))
                 g = flt.update(geometry_of(row), step)
                 new = _geometry_row((name, row["frame_idx"]), g, row["reason"] or "")

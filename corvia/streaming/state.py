@@ -453,7 +453,7 @@ class Gauge:
                 d = "CAUTION"
             if d == "CLEAR" and not seen:
                 d = "CAUTION"
-            rows.append({"id": i, "decision": d, "relation": relation or "predicted", "range_m": t.range_m, "exists": s.exists, "confirmed": t.confirmed, "seen": seen, "kind": t.kind, "station_m": t.station, "offset_m": t.offset, "evidence": t.evidence, "speed_m_per_frame": t.speed})
+            rows.append({"id": i, "decision": d, "relation": relation or "predicted", "range_m": t.range_m, "exists": s.exists, "confirmed": t.confirmed, "seen": seen, "kind": t.kind, "station_m": t.station, "offset_m": t.offset, "evidence": t.evidence, "speed_m_per_frame": t.speed, "low": None if t.low is None else [float(v) for v in t.low], "high": None if t.high is None else [float(v) for v in t.high]})
         blocking = sorted(r["id"] for r in rows if r["decision"] == "BLOCKED")
         caution = sorted(r["id"] for r in rows if r["decision"] == "CAUTION")
         status = "BLOCKED" if blocking else "CAUTION" if caution or not route_ok else "CLEAR"
