@@ -50,6 +50,8 @@ MAGIC = b"CORVIA02"
 BLOCK = 64
 ENTRY = np.dtype([("fp", "<u4"), ("rows", "<u4"), ("offset", "<i8"), ("row", "<i8")])
 HEAD = 72
+#: Text bytes encoded at once: the more, the fewer calls of the library.
+SLICE = 4 << 20
 GAMMA = 2.0  # bits of a level's array for each of its keys
 #: Multipliers of a 64-bit finalising mix (fixed values of the public splitmix64).
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
@@ -304,7 +306,7 @@ def write_shards(docs: DataFrame, vocab: str, folder: str, *, id_col: str = "doc
             return row
 
         for batch in batches:
-            for piece in sliced(batch):
+            for piece in sliced(batch, SLICE):
                 ids, bounds = encoder.encode_texts(strings(piece.column(1)))
                 own = piece.column(0)
                 flat = np.insert(ids, bounds[1:], np.uint32(end_id)).astype(np.uint16 if id_bytes == 2 else np.uint32)
