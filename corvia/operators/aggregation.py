@@ -50,11 +50,17 @@ def track_shape(region: DataFrame, quantile: float = 95.0, least_bins: int = 4)
 
 def steady_cells(region: DataFrame, least: float = 0.12, share: float = 0.40) -> DataFrame:
     """Cells whose tops hardly vary along the track: p90 - p10 is at most the
-    larger of `least` and the frame's `share` quantile of that spread."""
+    larger of `least` and the frame's `share` quantile of that spread. A cell's tops,
+    one of each bin along the track, are few and are sorted in an array. Null heights
+    don't count; a cell with no other gives no row."""
     tops = region.groupBy(*K, "cell", "bin").agg(F.max("height").alias("top"))
-    low = nearest_rank(tops, [*K, "cell"], "top", 10, 1, "low", ["bin"]).drop("n")
-    high = nearest_rank(tops, [*K, "cell"], "top", 90, 1, "high", ["bin"]).drop("n")
-    spread = low.join(high, [*K, "cell"]).withColumn("spread", F.col("high") - F.col("low"))
+    cells = tops.groupBy(*K, "cell").agg(F.sort_array(F.collect_list("top")).alias("sorted")).where(F.size("sorted") > 0)
+
+    def rank(part):
+        n = F.size("sorted")
+        return F.element_at("sorted", F.least(n, F.floor(n * F.lit(part)).cast("int") + 1))
+
+    spread = cells.select(*K, "cell", (rank(0.9) - rank(0.1)).alias("spread"))
     limit = spread.groupBy(*K).agg(F.percentile("spread", F.lit(share)).alias("typical"))
     out = spread.join(limit, K)
     return out.select(*K, "cell", "spread", (F.col("spread") <= F.greatest(F.col("typical"), F.lit(least))).alias("steady"))
@@ -168,13 +174,21 @@ def closest_faces(local: DataFrame, size: float = 0.5) -> DataFrame:
 
 def group_features(members: DataFrame, group: str = "group_id") -> DataFrame:
     """What describes a raised group: counts, extents, medians, distinct returns,
-    rings and height levels, and where it stands out most."""
+    rings and height levels, and where it stands out most. Distinct values are counted
+    in sets beside the medians, which hold a group's values as well: several distinct
+    counts in one aggregation would copy every row for each. Nulls don't count."""
     level = F.bround(F.col("height") / 0.05, 0).cast("long")
+    # -0.0 is 0.0; a return without all coordinates is none
+    place = F.when(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull(), F.struct(*((F.col(c) + F.lit(0.0)).alias(c) for c in "xyz")))
+
+    def distinct(c):
+        return F.size(F.collect_set(c)).cast("long")
+
     return members.groupBy(*K, group).agg(
         F.count(F.lit(1)).alias("returns"),
-        F.count_distinct("x", "y", "z").alias("unique_returns"),
-        F.count_distinct("ring").alias("rings"),
-        F.count_distinct(level).alias("levels"),
+        distinct(place).alias("unique_returns"),
+        distinct("ring").alias("rings"),
+        distinct(level).alias("levels"),
         F.median("station").alias("station_m"),
         F.median("offset").alias("offset_m"),
         F.min("range_m").alias("range_m"),
