@@ -217,14 +217,36 @@ def near_voxels(points: DataFrame, size: float = 0.1) -> DataFrame:
 
 def motion_score(sample: DataFrame, occupied: DataFrame, candidates: DataFrame, size: float = 0.1) -> DataFrame:
     """Share of each frame's sampled points that land in a voxel the next frame
-    occupies, for every candidate (travel, tx, ty, tz): one equi-join on voxels.
-    candidates has a row for each step of the search, which doesn't grow with data."""
-    moved = sample.join(F.broadcast(candidates)).select("recording", (F.col("frame_idx") + 1).alias("frame_idx"), "travel", *(F.floor((F.col(c) + F.col(f"t{c}")) / size).cast("long").alias(f"v{c}") for c in "xyz"))
-    # points that meet in a voxel are counted before they are joined
-    moved = moved.groupBy("recording", "frame_idx", "travel", "vx", "vy", "vz").agg(F.count(F.lit(1)).alias("n"))
-    hit = occupied.withColumn("hit", F.lit(1))
-    joined = moved.join(hit, ["recording", "frame_idx", "vx", "vy", "vz"], "left")
-    return joined.groupBy("recording", "frame_idx", "travel").agg(F.sum("n").alias("points"), F.sum(F.col("n") * F.coalesce("hit", F.lit(0))).alias("hits"))
+    occupies, for every candidate (travel, tx, ty, tz).
+
+    Occupied voxels are masks of 64 along y. A point is dealt to the blocks that any
+    candidate moves it to, which are few, and tries the candidates on their masks
+    after the join; so rows in a shuffle don't grow with the candidates. Those are
+    one row with an array, as the steps of a search don't grow with data. Points with
+    a null coordinate count and hit nothing.
+    """
+    keys, spot, block = ["recording", "frame_idx"], ["x", "y", "z"], ["vx", "block", "vz"]
+    one = candidates.agg(F.sort_array(F.collect_list(F.struct("tx", "tz", "ty", "travel"))).alias("steps"))
+    steps = F.broadcast(one.select(F.transform("steps", lambda c, k: F.struct(c.alias("to"), F.get("steps", k - 1).alias("last"))).alias("steps")))
+    moved = sample.select("recording", (F.col("frame_idx") + 1).alias("frame_idx"), *spot)
+
+    def landed(step: str):
+        v = {c: F.floor((F.col(c) + F.col(f"{step}.t{c}")) / size).cast("long") for c in spot}
+        return [v["x"], F.shiftright(v["y"], 6), v["z"]], v["y"].bitwiseAND(63).cast("int")
+
+    masks = occupied.groupBy(*keys, "vx", F.shiftright("vy", 6).alias("block"), "vz").agg(F.bit_or(F.expr("shiftleft(1L, cast(vy & 63 as int))")).alias("mask"))
+    spots = moved.groupBy(*keys, *spot).agg(F.count(F.lit(1)).alias("n"))
+    to, bit = landed("step.to")
+    # a block is listed where it differs from the last candidate's, then once
+    new = ~F.struct(*to).eqNullSafe(F.struct(*landed("step.last")[0]))
+    tried = spots.join(steps).select(*keys, *spot, "n", F.explode("steps").alias("step"))
+    dealt = tried.where(new).select(*keys, *spot, "n", *(c.alias(n) for c, n in zip(to, block))).distinct()
+    met = dealt.join(masks, [*keys, *block]).join(steps).select(*keys, *spot, *block, "n", "mask", F.explode("steps").alias("step"))
+    for c, n in zip(to, block):
+        met = met.where(c == F.col(n))
+    hits = met.where(F.getbit("mask", bit) == 1).groupBy(*keys, F.col("step.to.travel").alias("travel")).agg(F.sum("n").alias("hits"))
+    every = moved.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(candidates.select("travel"))).groupBy(*keys, "travel").agg(F.sum("n").alias("points"))
+    return every.join(hits, [*keys, "travel"], "left").select(*keys, "travel", "points", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
 
 
 def status_summary(results: DataFrame) -> DataFrame:

@@ -44,11 +44,6 @@ def _roots(points: DataFrame) -> DataFrame:
 
 
 def proximity_components(spark, sf):
-    return _roots(_local(spark, sf).where("height > 1.5"))
-
-
-def proximity_components_all(spark, sf):
-    """Over all points; no SQL, as a recursive one is too slow for them."""
     return _roots(_local(spark, sf))
 
 
@@ -88,7 +83,7 @@ def track_and_gauge(spark, sf):
 def queries():
     return {
         f.__name__: f
-        for f in (corridor_membership, proximity_components, proximity_components_all, travel_motion, surface_points, detect_obstacles, raw_routes, ego_motion, track_and_gauge)
+        for f in (corridor_membership, proximity_components, travel_motion, surface_points, detect_obstacles, raw_routes, ego_motion, track_and_gauge)
     }
 
 
@@ -98,11 +93,13 @@ def oracle_sql():
     return {
         "corridor_membership": f"""{CLOUD_CTE} SELECT recording, frame_idx, point_idx, round(station, 6) AS station, round("offset", 6) AS "offset", round(height, 6) AS height, height >= -1e-8 AS in_gauge
             FROM local WHERE NOT (x = 0 AND y = 0 AND z = 0) AND station >= 0 AND station <= 60 AND abs("offset") <= 1.05 + 1e-8 AND height BETWEEN -0.7 - 1e-8 AND 3.0 + 1e-8""",
-        "proximity_components": f"""{CLOUD_CTE.replace("WITH cloud", "WITH RECURSIVE cloud")}, t AS (SELECT * FROM local WHERE height > 1.5),
-            e AS (SELECT a.recording, a.frame_idx, a.point_idx AS a, b.point_idx AS b FROM t a JOIN t b ON a.recording = b.recording AND a.frame_idx = b.frame_idx AND abs(a.station - b.station) <= 1.2
-                AND abs(a."offset" - b."offset") <= greatest(0.25, 0.006 * a.range_m, 0.006 * b.range_m) AND abs(a.height - b.height) <= greatest(0.20, 0.006 * a.range_m, 0.006 * b.range_m)),
-            r AS (SELECT recording, frame_idx, a, b FROM e UNION SELECT r.recording, r.frame_idx, r.a, e.b FROM r JOIN e ON r.recording = e.recording AND r.frame_idx = e.frame_idx AND r.b = e.a)
-            SELECT recording, frame_idx, a AS point_idx, min(b) AS root FROM r GROUP BY recording, frame_idx, a""",
+        "proximity_components": f"""{CLOUD_CTE.replace("WITH cloud", "WITH RECURSIVE cloud")}, p AS (SELECT *, CAST(floor(station / 1.2) AS BIGINT) AS own FROM local), x AS (SELECT *, unnest([own - 1, own, own + 1]) AS cell FROM p),
+            e AS MATERIALIZED (SELECT a.recording, a.frame_idx, a.point_idx AS a, b.point_idx AS b FROM x a JOIN p b ON a.recording = b.recording AND a.frame_idx = b.frame_idx AND a.cell = b.own
+                WHERE abs(a.station - b.station) <= 1.2 AND abs(a."offset" - b."offset") <= greatest(0.25, 0.006 * a.range_m, 0.006 * b.range_m) AND abs(a.height - b.height) <= greatest(0.20, 0.006 * a.range_m, 0.006 * b.range_m)),
+            r(recording, frame_idx, point_idx, root) USING KEY (recording, frame_idx, point_idx) AS (SELECT recording, frame_idx, point_idx, point_idx FROM p
+                UNION SELECT e.recording, e.frame_idx, e.b, min(r.root) FROM r JOIN e ON e.recording = r.recording AND e.frame_idx = r.frame_idx AND e.a = r.point_idx
+                    JOIN recurring.r o ON o.recording = e.recording AND o.frame_idx = e.frame_idx AND o.point_idx = e.b WHERE r.root < o.root GROUP BY e.recording, e.frame_idx, e.b)
+            SELECT recording, frame_idx, point_idx, root FROM r""",
         "travel_motion": f"""{CLOUD_CTE}, m AS (SELECT recording, frame_idx, point_idx, station / 23 AS d, (ring - 64) / 128.0::DOUBLE * 0.0103 AS k FROM local), n AS (SELECT *, k * d AS t, sqrt(greatest(1 - (k * 10.5 / 2) * (k * 10.5 / 2), 0)) AS lean FROM m)
             SELECT recording, frame_idx, point_idx, round(t, 6) AS yaw_rad, round(lean * CASE WHEN abs(t) < 1e-9 THEN d ELSE d * sin(t) / t END - 5.25 * (1 - cos(t)), 6) AS forward_m,
             round(lean * CASE WHEN abs(t) < 1e-9 THEN d * t / 2 ELSE d * (1 - cos(t)) / t END + 5.25 * sin(t), 6) AS lateral_m FROM n""",

@@ -1,10 +1,7 @@
 """Registered queries of the point-cloud operators, each with its SQL.
 
 Queries run an operator over a whole table: the point cloud projected from
-lineitem, the frame sequence from events, or arrays from embeddings. Where a
-query's SQL draws a sample or a slice by height (motion_score,
-wall_turn_direction, proximity_components, grid_edges, seen_before,
-not_seen_before, chain_until_gap), the same name with _all runs over all points.
+lineitem, the frame sequence from events, or arrays from embeddings.
 """
 
 from __future__ import annotations
@@ -284,28 +281,12 @@ def _near_voxels(spark, sf):
 
 @query(
     "motion_score",
-    f"""{CLOUD_CTE}, occ AS (SELECT DISTINCT recording, frame_idx, floor(x / 0.5) AS vx, floor(y / 0.5) AS vy, floor(z / 0.5) AS vz FROM cloud WHERE -y BETWEEN 3 AND 40 AND abs(x) <= 6 AND z > -4 AND z < 5),
-    cand AS (SELECT unnest(range(-6, 91)) * 0.05::DOUBLE AS travel),
-    mv AS (SELECT recording, frame_idx + 1 AS frame_idx, travel, floor(x / 0.5) AS vx, floor((y + travel) / 0.5) AS vy, floor(z / 0.5) AS vz FROM cloud, cand WHERE point_idx % 7 = 0)
-    SELECT recording, frame_idx, round(travel, 6) AS travel, count(*) AS points, count(o.hit) AS hits FROM mv LEFT JOIN (SELECT *, 1 AS hit FROM occ) o USING (recording, frame_idx, vx, vy, vz) GROUP BY recording, frame_idx, travel""",
-)
-def _motion(spark, sf):
-    p = fixtures.cloud(spark, sf)
-    near = p.where((-F.col("y")).between(3, 40) & (F.abs("x") <= 6) & (F.col("z") > -4) & (F.col("z") < 5))
-    occupied = near.select(*P.K, *(A.cell(c, 0.5).alias(f"v{c}") for c in "xyz")).distinct()
-    cand = spark.range(-6, 91).select((F.col("id") * F.lit(0.05)).alias("travel"), F.lit(0.0).alias("tx"), (F.col("id") * F.lit(0.05)).alias("ty"), F.lit(0.0).alias("tz"))
-    out = A.motion_score(p.where("point_idx % 7 = 0"), occupied, cand, 0.5)
-    return out.select(*P.K, *six("travel"), "points", "hits")
-
-
-@query(
-    "motion_score_all",
     f"""{CLOUD_CTE}, occ AS (SELECT DISTINCT recording, frame_idx, floor(x / 0.1) AS vx, floor(y / 0.1) AS vy, floor(z / 0.1) AS vz FROM cloud WHERE -y BETWEEN 3 AND 40 AND abs(x) <= 6 AND z > -4 AND z < 5),
     cand AS (SELECT unnest(range(-6, 91)) * 0.05::DOUBLE AS travel),
     mv AS (SELECT recording, frame_idx + 1 AS frame_idx, travel, floor(x / 0.1) AS vx, floor((y + travel) / 0.1) AS vy, floor(z / 0.1) AS vz FROM cloud, cand)
     SELECT recording, frame_idx, round(travel, 6) AS travel, count(*) AS points, count(o.hit) AS hits FROM mv LEFT JOIN (SELECT *, 1 AS hit FROM occ) o USING (recording, frame_idx, vx, vy, vz) GROUP BY recording, frame_idx, travel""",
 )
-def _motion_all(spark, sf):
+def _motion(spark, sf):
     p = fixtures.cloud(spark, sf)
     cand = spark.range(-6, 91).select((F.col("id") * F.lit(0.05)).alias("travel"), F.lit(0.0).alias("tx"), (F.col("id") * F.lit(0.05)).alias("ty"), F.lit(0.0).alias("tz"))
     return A.motion_score(p, A.near_voxels(p), cand).select(*P.K, *six("travel"), "points", "hits")
@@ -344,47 +325,25 @@ def _band(spark, sf):
 
 @query(
     "grid_edges",
-    f"""{CLOUD_CTE}, t AS (SELECT * FROM local WHERE height > 1.5), p AS (SELECT *, CAST(floor(station / 3) AS BIGINT) AS cs, CAST(floor("offset" / 3) AS BIGINT) AS cd FROM t), n AS (SELECT *, cs + i AS ns, cd + j AS nd FROM p, (VALUES (-1), (0), (1)) u(i), (VALUES (-1), (0), (1)) v(j))
-    SELECT a.recording, a.frame_idx, a.point_idx AS a, b.point_idx AS b FROM n a JOIN p b ON a.recording = b.recording AND a.frame_idx = b.frame_idx AND a.ns = b.cs AND a.nd = b.cd AND a.point_idx < b.point_idx
-    AND (a.station - b.station)*(a.station - b.station) + (a."offset" - b."offset")*(a."offset" - b."offset") <= 9 AND (a."offset" * b."offset" > 0 OR (abs(a."offset") < 0.6 AND abs(b."offset") < 0.6 AND abs(a."offset" - b."offset") < 0.5))""",
-)
-def _grid_edges(spark, sf):
-    return J.grid_edges(local(spark, sf).where("height > 1.5"))
-
-
-@query(
-    "grid_edges_all",
     f"""{CLOUD_CTE}, p AS (SELECT *, CAST(floor(station / 3) AS BIGINT) AS cs, CAST(floor("offset" / 3) AS BIGINT) AS cd FROM local), n AS (SELECT *, cs + i AS ns, cd + j AS nd FROM p, (VALUES (-1), (0), (1)) u(i), (VALUES (-1), (0), (1)) v(j))
     SELECT a.recording, a.frame_idx, a.point_idx AS a, b.point_idx AS b FROM n a JOIN p b ON a.recording = b.recording AND a.frame_idx = b.frame_idx AND a.ns = b.cs AND a.nd = b.cd AND a.point_idx < b.point_idx
     AND (a.station - b.station)*(a.station - b.station) + (a."offset" - b."offset")*(a."offset" - b."offset") <= 9 AND (a."offset" * b."offset" > 0 OR (abs(a."offset") < 0.6 AND abs(b."offset") < 0.6 AND abs(a."offset" - b."offset") < 0.5))""",
 )
-def _grid_edges_all(spark, sf):
+def _grid_edges(spark, sf):
     return J.grid_edges(local(spark, sf))
 
 
-_SEEN = "EXISTS (SELECT 1 FROM old o WHERE o.recording = g.recording AND o.frame_idx = g.frame_idx - 1 AND o.station - g.station BETWEEN 0 AND 5 AND abs(o.\"offset\" - g.\"offset\") <= 0.5 + 0.01 * g.range_m AND abs(o.height - g.height) <= 0.4)"
+_SEEN = "EXISTS (SELECT 1 FROM local o WHERE o.recording = g.recording AND o.frame_idx = g.frame_idx - 1 AND o.station - g.station BETWEEN 0 AND 5 AND abs(o.\"offset\" - g.\"offset\") <= 0.5 + 0.01 * g.range_m AND abs(o.height - g.height) <= 0.4)"
 
 
-@query("seen_before", f"{CLOUD_CTE}, old AS (SELECT * FROM local WHERE height > 1.7), g AS (SELECT * FROM local WHERE height > 1.8) SELECT {POINT} FROM g WHERE {_SEEN}")
+@query("seen_before", f"{CLOUD_CTE} SELECT {POINT} FROM local g WHERE {_SEEN}")
 def _seen(spark, sf):
-    p = local(spark, sf)
-    return J.seen_before(p.where("height > 1.8"), p.where("height > 1.7")).select(*P.K, "point_idx")
-
-
-@query("not_seen_before", f"{CLOUD_CTE}, old AS (SELECT * FROM local WHERE height > 1.7), g AS (SELECT * FROM local WHERE height > 1.8) SELECT {POINT} FROM g WHERE NOT {_SEEN}")
-def _unseen(spark, sf):
-    p = local(spark, sf)
-    return J.seen_before(p.where("height > 1.8"), p.where("height > 1.7"), kind="left_anti").select(*P.K, "point_idx")
-
-
-@query("seen_before_all", f"{CLOUD_CTE} SELECT {POINT} FROM local g WHERE {_SEEN.replace('FROM old o', 'FROM local o')}")
-def _seen_all(spark, sf):
     p = local(spark, sf)
     return J.seen_before(p, p).select(*P.K, "point_idx")
 
 
-@query("not_seen_before_all", f"{CLOUD_CTE} SELECT {POINT} FROM local g WHERE NOT {_SEEN.replace('FROM old o', 'FROM local o')}")
-def _unseen_all(spark, sf):
+@query("not_seen_before", f"{CLOUD_CTE} SELECT {POINT} FROM local g WHERE NOT {_SEEN}")
+def _unseen(spark, sf):
     p = local(spark, sf)
     return J.seen_before(p, p, kind="left_anti").select(*P.K, "point_idx")
 
@@ -538,20 +497,10 @@ def _conflicts(spark, sf):
 
 @query(
     "chain_until_gap",
-    f"""{CLOUD_CTE}, c AS (SELECT DISTINCT recording, frame_idx, station FROM local WHERE height > 1.85), g AS (SELECT *, coalesce(station - lag(station) OVER (PARTITION BY recording, frame_idx ORDER BY station), 0) > 1.0 AS gap FROM c), b AS (SELECT *, max(gap::INT) OVER (PARTITION BY recording, frame_idx ORDER BY station) AS broken FROM g)
-    SELECT recording, frame_idx, station FROM b WHERE broken = 0""",
-)
-def _chain(spark, sf):
-    c = local(spark, sf).where("height > 1.85").select(*P.K, "station").distinct()
-    return Wn.chain_until_gap(c, P.K, "station", 1.0)
-
-
-@query(
-    "chain_until_gap_all",
     f"""{CLOUD_CTE}, c AS (SELECT DISTINCT recording, frame_idx, station FROM local), g AS (SELECT *, coalesce(station - lag(station) OVER (PARTITION BY recording, frame_idx ORDER BY station), 0) > 1.0 AS gap FROM c), b AS (SELECT *, max(gap::INT) OVER (PARTITION BY recording, frame_idx ORDER BY station) AS broken FROM g)
     SELECT recording, frame_idx, station FROM b WHERE broken = 0""",
 )
-def _chain_all(spark, sf):
+def _chain(spark, sf):
     return Wn.chain_until_gap(local(spark, sf).select(*P.K, "station").distinct(), P.K, "station", 1.0)
 
 
@@ -568,20 +517,10 @@ def _length(spark, sf):
 
 @query(
     "wall_turn_direction",
-    f"""{CLOUD_CTE}, e AS (SELECT *, "offset" * 3 AS edge, station / max(station) OVER (PARTITION BY recording, frame_idx) AS r FROM local WHERE ring % 4 = frame_idx % 4), m AS (SELECT recording, frame_idx, median(edge) FILTER (WHERE r >= 0.8) - median(edge) FILTER (WHERE r BETWEEN 0.4 AND 0.65) AS d FROM e GROUP BY ALL)
-    SELECT recording, frame_idx, CAST(CASE WHEN d > 1.2 THEN 1 WHEN d < -1.2 THEN -1 ELSE 0 END AS INT) AS direction FROM m""",
-)
-def _wall_turn(spark, sf):
-    e = local(spark, sf).where("ring % 4 = frame_idx % 4").withColumn("edge", F.col("offset") * 3)
-    return Wn.turn_direction(e, P.K)
-
-
-@query(
-    "wall_turn_direction_all",
     f"""{CLOUD_CTE}, e AS (SELECT *, "offset" * 3 AS edge, station / max(station) OVER (PARTITION BY recording, frame_idx) AS r FROM local), m AS (SELECT recording, frame_idx, median(edge) FILTER (WHERE r >= 0.8) - median(edge) FILTER (WHERE r BETWEEN 0.4 AND 0.65) AS d FROM e GROUP BY ALL)
     SELECT recording, frame_idx, CAST(CASE WHEN d > 1.2 THEN 1 WHEN d < -1.2 THEN -1 ELSE 0 END AS INT) AS direction FROM m""",
 )
-def _wall_turn_all(spark, sf):
+def _wall_turn(spark, sf):
     return Wn.turn_direction(local(spark, sf).withColumn("edge", F.col("offset") * 3), P.K)
 
 

@@ -30,3 +30,29 @@ def test_steady_cells_by_ranks(spark):
     want = {(r["frame_idx"], r["cell"]): r["hi"] - r["v"] for r in low.join(high.withColumnRenamed("v", "hi"), keys).collect()}
     got = {(r["frame_idx"], r["cell"]): r["spread"] for r in A.steady_cells(df).collect()}
     assert got == want and len(got) > 10
+
+
+def test_motion_tries_every_candidate_once(spark):
+    """Candidates on all axes, out of order, repeated points, blocks left and met again, a null."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    spots = [tuple(rng.uniform(-8, 8) for _ in range(3)) for _ in range(120)]
+    rows = [("r", f, i, *p) for f in (0, 1) for i, p in enumerate([*spots, *spots[:20]])] + [("r", 0, 999, None, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "recording string, frame_idx int, point_idx int, x double, y double, z double")
+    steps = [(k / 8, *(rng.choice([-0.1, 0.0, 0.03, 0.1, 6.4]) for _ in range(3))) for k in range(40)] + [(9.0, 0.0, 0.0, 0.0)]
+    rng.shuffle(steps)
+    voxel = lambda p: tuple(math.floor(c / 0.1) for c in p)
+    taken = set(map(voxel, spots))
+    occupied = spark.createDataFrame([("r", 1, *v) for v in taken], "recording string, frame_idx int, vx long, vy long, vz long")
+    got = A.motion_score(points, occupied, spark.createDataFrame(steps, "travel double, tx double, ty double, tz double")).collect()
+    want = Counter()
+    for travel, *t in steps:
+        for frame in (0, 1):
+            own = [r[3:] for r in rows if r[1] == frame]
+            hit = sum(voxel([a + b for a, b in zip(p, t)]) in taken for p in own if None not in p) if frame == 0 else 0
+            want[frame + 1, travel, len(own), hit] += 1
+    assert Counter((r["frame_idx"], r["travel"], r["points"], r["hits"]) for r in got) == want
+    assert any(h for _, t, _, h in want if t != 9.0) and want[1, 9.0, 141, 140] == 1

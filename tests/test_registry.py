@@ -44,7 +44,7 @@ def test_motion_is_scored_on_every_point(spark, sf_dir):
     from corvia.plans import fixtures
 
     n = fixtures.cloud(spark, sf_dir).count()
-    got = QUERIES["motion_score_all"](spark, sf_dir).groupBy("travel").sum("points").collect()
+    got = QUERIES["motion_score"](spark, sf_dir).groupBy("travel").sum("points").collect()
     assert len(got) == 97 and {r["sum(points)"] for r in got} == {n}
 
 
@@ -57,7 +57,7 @@ def test_walls_turn_by_every_point(spark, sf_dir):
         r = g.station / g.station.max()
         d = 3 * (np.median(g.offset[r >= 0.8]) - np.median(g.offset[(r >= 0.4) & (r <= 0.65)]))
         want[f] = 1 if d > 1.2 else -1 if d < -1.2 else 0
-    assert {r["frame_idx"]: r["direction"] for r in QUERIES["wall_turn_direction_all"](spark, sf_dir).collect()} == want
+    assert {r["frame_idx"]: r["direction"] for r in QUERIES["wall_turn_direction"](spark, sf_dir).collect()} == want
 
 
 def test_components_of_all_points_against_all_pairs(spark, sf_dir):
@@ -73,12 +73,12 @@ def test_components_of_all_points_against_all_pairs(spark, sf_dir):
         while (least := np.where(link, root, root.max()).min(axis=1)).tolist() != root.tolist():
             root = least
         want |= {(f, i): r for i, r in zip(g.point_idx, root.tolist())}
-    got = {(r["frame_idx"], r["point_idx"]): r["root"] for r in QUERIES["proximity_components_all"](spark, sf_dir).collect()}
+    got = {(r["frame_idx"], r["point_idx"]): r["root"] for r in QUERIES["proximity_components"](spark, sf_dir).collect()}
     assert got == want
 
 
 def test_every_point_is_seen_or_not(spark, sf_dir):
-    seen, unseen = (QUERIES[n](spark, sf_dir).select("frame_idx", "point_idx") for n in ("seen_before_all", "not_seen_before_all"))
+    seen, unseen = (QUERIES[n](spark, sf_dir).select("frame_idx", "point_idx") for n in ("seen_before", "not_seen_before"))
     every = registry.local(spark, sf_dir).select("frame_idx", "point_idx")
     assert sorted(map(tuple, seen.union(unseen).collect())) == sorted(map(tuple, every.collect()))
 
