@@ -35,16 +35,9 @@ def corridor_membership(spark, sf):
     return r.select(*P.K, "point_idx", *(F.round(c, 6).alias(c) for c in ("station", "offset", "height")), "in_gauge")
 
 
-def _roots(points: DataFrame) -> DataFrame:
-    """Groups as each member's smallest member."""
-    from pyspark.sql import Window as W
-
-    g = Fr.grouped_components(points)
-    return g.select(*P.K, "point_idx", F.min("point_idx").over(W.partitionBy(*P.K, "group_id")).alias("root"))
-
-
 def proximity_components(spark, sf):
-    return _roots(_local(spark, sf))
+    """Groups as each member's smallest member."""
+    return Fr.grouped_components(_local(spark, sf)).select(*P.K, "point_idx", "root")
 
 
 def travel_motion(spark, sf):

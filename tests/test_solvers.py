@@ -33,6 +33,32 @@ def test_band_pairs_against_all_pairs():
     assert {frozenset(p) for p in zip(i.tolist(), j.tolist())} == want
 
 
+@pytest.mark.parametrize("span", [0.5, 6.0, 40.0])
+def test_band_roots_against_pairs(span, monkeypatch):
+    monkeypatch.setattr(solvers, "PAIRS", 1000)
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 900):
+        s, d, h = rng.uniform(0, 20, n), rng.uniform(-span, span, n).round(2), rng.uniform(-span, span, n).round(2)
+        far = rng.uniform(0, 120, n)
+        lat, ver = np.maximum(0.25, 0.006 * far), np.maximum(0.2, 0.006 * far)
+        assert solvers.band_roots(s, d, h, lat, ver).tolist() == solvers.components(n, *solvers.band_pairs(s, d, h, lat, ver)).tolist()
+
+
+def test_a_dense_frame_is_grouped_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n = 40000  # 13 million pairs in reach along the track
+    s, d, h = rng.uniform(0, 80, n), rng.uniform(-2, 2, n), rng.uniform(-1, 2, n)
+    d[d > 0] += 1  # two sides apart
+    tracemalloc.start()
+    got = solvers.group_labels(s, d, h, np.full(n, 10.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(got[d > 0])) < 50 and not set(got[d > 0]) & set(got[d <= 0])
+    assert peak < 200e6
+
+
 def test_robust_fit_ignores_outliers():
     x = np.linspace(0, 10, 50)
     y = 2 * x + 1
