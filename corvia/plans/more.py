@@ -53,7 +53,7 @@ def surface_points(spark, sf):
 
 def detect_obstacles(spark, sf):
     p = fixtures.cloud(spark, sf)
-    return Fr.detect_obstacles(p, straight_geometry(p)).drop("points", "indices", "reasons")
+    return Fr.detect_obstacles(p, straight_geometry(p), columns=[n for n in Fr.SUMMARY if n != "reasons"])
 
 
 def raw_routes(spark, sf):

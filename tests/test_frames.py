@@ -123,3 +123,47 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = sorted(tuple(r[c] for c in ("recording", "frame_idx", "status", "event", "reset_reason", "distance_m")) for r in spark.table("results").collect())
     assert got == want
+
+
+def test_a_corridor_is_cut_block_by_block(clear):
+    import json
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corvia.operators import frames
+
+    g = route.straight_geometry(60.0, curvature=0.004)
+    row = frames._geometry_row(("r", 0), g, "")
+    geo = pa.RecordBatch.from_pylist([{"recording": "r", "frame_idx": 0, "point_idx": None, "geo": json.dumps(row), "ring": None} | dict.fromkeys("xyz")])
+    rng = np.random.default_rng(6)
+    n = 300_000
+    xyz = np.column_stack((rng.uniform(-9, 9, n), -rng.uniform(0, 80, n), rng.uniform(-1, 3.5, n)))
+    names = ["recording", "frame_idx", "point_idx", "x", "y", "z", "ring"]
+
+    def batch(i, j):
+        part = [pa.repeat("r", j - i), pa.repeat(0, j - i), pa.array(np.arange(i, j, dtype=np.int32)), *(pa.array(c) for c in xyz[i:j].T), pa.array(np.arange(i, j, dtype=np.int32) % 128)]
+        return pa.RecordBatch.from_arrays([*part, pa.nulls(j - i, geo.schema.field("geo").type)], [*names, "geo"])
+
+    cuts = [0, 7, 10_000, 77_777, 200_000, n]
+    batches = [geo.select([*names, "geo"]), *(batch(i, j) for i, j in zip(cuts, cuts[1:]))]
+    tracemalloc.start()
+    (key, parts), = ((k, list(p)) for k, p in frames.frame_parts(batches))
+    found, (idx, ring, inside, local), rings = frames.corridor(parts, 1 << 14)
+    peak = tracemalloc.get_traced_memory()[1]
+    rows, want = route.members(xyz, g)
+    assert key == ("r", 0) and rings and found.extent == g.extent
+    assert idx.tolist() == rows.tolist() and np.allclose(local, want, atol=1e-8) and (inside == xyz[rows]).all() and (ring == rows % 128).all()
+    assert peak < 60e6
+    tracemalloc.reset_peak()
+    route.members(xyz, g)
+    assert tracemalloc.get_traced_memory()[1] > 2 * peak
+    tracemalloc.stop()
+
+
+def test_frames_are_not_one_group_of_the_jvm(spark, sf_dir):
+    from corvia.plans import registry
+
+    for name in ("detect_obstacles", "proximity_components"):
+        plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "InPandas" not in plan
