@@ -69,7 +69,7 @@ def track_and_gauge(spark, sf):
     p = fixtures.cloud(spark, sf)
     g = straight_geometry(p)
     stamps = p.select(*P.K).distinct().withColumns({"frame_id": F.lit("lidar"), "timestamp_ns": F.col("frame_idx").cast("long") * 100_000_000})
-    rows = processor.frame_rows(stamps, processor.ego_motion(p), g, Fr.detect_obstacles(p, g))
+    rows = processor.frame_rows(stamps, processor.ego_motion(p), g, Fr.detect_obstacles(p, g, columns=Fr.BOXED))
     return processor.process_batch(rows).select(*P.K, "status", "path_clear", F.round("distance_m", 6).alias("distance_m"), "event", "route_available", "processing_ok", "reset_reason", F.size("tracks").alias("n_tracks"))
 
 

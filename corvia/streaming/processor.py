@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.schema import schema
-from .state import EgoMotion, Recording
+from .state import EgoMotion, Recording, look
 
 FRAME = schema(
     "recording string, frame_idx int, frame_id string, timestamp_ns bigint, travel_m double, extent_m double, "
@@ -30,6 +33,14 @@ RESULT = schema(
 MOTION = schema("recording string, frame_idx int, travel_m double, yaw_rad double, forward_m double, lateral_m double, measured boolean, locked boolean")
 
 
+#: A piece of what motion is measured by: of a frame's sample or of its occupied voxels.
+LOOK = schema("recording string, frame_idx int, part int, sample boolean, k double, piece binary")
+
+
+def _pieces(values: np.ndarray, most: int = 600) -> list[np.ndarray]:
+    return [values[n : n + most] for n in range(0, len(values), most)]
+
+
 def _corner(of) -> Column:
     """Of the box around a group's points (station, offset, height), and so on."""
 
@@ -40,11 +51,13 @@ def _corner(of) -> Column:
 
 
 def frame_rows(frames: DataFrame, motion: DataFrame, geometry: DataFrame, obstacles: DataFrame) -> DataFrame:
-    """FRAME: one summary row for each frame; no cloud goes into the ordered pass."""
+    """FRAME: one summary row for each frame; no cloud goes into the ordered pass.
+
+    Obstacles have all their points, or their boxes (low, high) and the decisive ones."""
     k = ["recording", "frame_idx"]
     item = F.struct(
         F.col("group_id").cast("int").alias("group_id"), "kind", F.col("station_m").alias("station"), F.col("track_offset_m").alias("offset"), "range_m", "confidence", "reasons",
-        _corner(F.array_min).alias("low"), _corner(F.array_max).alias("high"), "points",
+        *(("low", "high", F.col("decisive").alias("points")) if "decisive" in obstacles.columns else (_corner(F.array_min).alias("low"), _corner(F.array_max).alias("high"), "points")),
     )
     seen = obstacles.groupBy(*k).agg(F.sort_array(F.collect_list(item)).alias("seen"))
     d = frames.join(motion.select(*k, "travel_m"), k, "left").join(geometry.select(*k, "extent_m"), k, "left").join(seen, k, "left")
@@ -100,7 +113,10 @@ def process_stream(frames: DataFrame, max_gap_s: float = 0.25) -> DataFrame:
 
 
 def ego_motion(points: DataFrame, geometry: DataFrame | None = None) -> DataFrame:
-    """MOTION of every frame. The pass holds one cloud at a time."""
+    """MOTION of every frame. Clouds are looked at in parallel by frame; the ordered pass
+    gets a frame's sample and its occupied voxels, in pieces."""
+    from ..operators.frames import by_frame, columns_of, frame_parts
+
     k = ["recording", "frame_idx"]
     curvature = F.lit(0.0).alias("k") if geometry is None else F.coalesce("rails_end_curvature_per_m", F.lit(0.0)).alias("k")
     p = points if geometry is None else points.join(geometry.select(*k, "rails_end_curvature_per_m"), k, "left")
@@ -109,30 +125,27 @@ def ego_motion(points: DataFrame, geometry: DataFrame | None = None) -> DataFram
     every = points.select(*k).distinct().select(*k, F.lit(None).cast("int").alias("point_idx"), *(F.lit(None).cast("double").alias(c) for c in "xyz"), F.lit(0.0).alias("k"))
     rows = p.where(near).select(*k, "point_idx", *(F.col(c).cast("double").alias(c) for c in "xyz"), curvature).unionByName(every)
 
-    def run(batches):
-        ego, name, frame, held = EgoMotion(), None, None, []
-
-        def step():
-            pdf = pd.concat(held)
-            body = pdf[pdf["point_idx"].notna()]
-            kappa = float(body["k"].iloc[0]) if len(body) else 0.0
-            return {"recording": name, "frame_idx": int(frame)} | ego.update(body[["x", "y", "z"]].to_numpy(float), kappa)
+    def seen(batches):
+        for key, parts in frame_parts(batches):
+            idx, x, y, z, kappa = columns_of(parts, "point_idx", *"xyz", "k")
+            body = ~np.isnan(idx)
+            sample, occupied = look(np.column_stack((x, y, z))[body])
+            pieces = [np.zeros(0)] if sample is None else _pieces(sample.ravel()) + _pieces(occupied)
+            bend = float(kappa[body][0]) if body.any() else 0.0
+            yield pa.RecordBatch.from_pylist([{"recording": key[0], "frame_idx": key[1], "part": n, "sample": p.dtype == float, "k": bend, "piece": p.tobytes()} for n, p in enumerate(pieces)], to_arrow_schema(LOOK))
 
-        for pdf in batches:
-            out = []
-            for (rec, idx), part in pdf.groupby(["recording", "frame_idx"], sort=False):
-                if (rec, idx) != (name, frame):
-                    if held:
-                        out.append(step())
-                    if rec != name:
-                        ego = EgoMotion()
-                    name, frame, held = rec, idx, []
-                held.append(part)
-            yield pd.DataFrame(out, columns=MOTION.names)
-        if held:
-            yield pd.DataFrame([step()], columns=MOTION.names)
+    def run(batches):
+        as_arrow, ego, name = to_arrow_schema(MOTION), EgoMotion(), None
+        for (recording, frame), parts in frame_parts(batches):
+            if recording != name:
+                ego, name = EgoMotion(), recording
+            read = [(r["sample"], r["k"], r["piece"]) for b in parts for r in b.select(["sample", "k", "piece"]).to_pylist()]
+            sample, occupied = (np.frombuffer(b"".join(p for s, _, p in read if s == of), kind) for of, kind in ((True, float), (False, np.int64)))
+            row = ego.advance(sample.reshape(-1, 3) if len(sample) else None, occupied, read[0][1])
+            yield pa.RecordBatch.from_pylist([{"recording": recording, "frame_idx": frame} | row], as_arrow)
 
-    return rows.repartition("recording").sortWithinPartitions("recording", "frame_idx", F.col("point_idx").asc_nulls_first()).mapInPandas(run, MOTION)
+    looks = by_frame(rows).mapInArrow(seen, LOOK)
+    return looks.repartition("recording").sortWithinPartitions("recording", "frame_idx", "part").mapInArrow(run, MOTION)
 
 
 def smooth_routes(geometry: DataFrame, motion: DataFrame) -> DataFrame:
@@ -166,9 +179,9 @@ def smooth_routes(geometry: DataFrame, motion: DataFrame) -> DataFrame:
 def process_recordings(points: DataFrame, frames: DataFrame, max_gap_s: float = 0.25) -> DataFrame:
     """Clouds to RESULT rows: raw routes and detection in parallel by frame, motion,
     smoothing, tracking and gauge in order by recording."""
-    from ..operators.frames import detect_obstacles, raw_routes
+    from ..operators.frames import BOXED, detect_obstacles, raw_routes
 
     raw = raw_routes(points)
     motion = ego_motion(points, raw)
     smooth = smooth_routes(raw, motion)
-    return process_batch(frame_rows(frames, motion, smooth, detect_obstacles(points, smooth)), max_gap_s)
+    return process_batch(frame_rows(frames, motion, smooth, detect_obstacles(points, smooth, columns=BOXED)), max_gap_s)

@@ -35,6 +35,18 @@ def voxel_codes(p: np.ndarray) -> np.ndarray:
     return (v[:, 0] << 24) | (v[:, 1] << 12) | v[:, 2]
 
 
+def look(xyz: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """(sample, occupied voxels in order) of a frame's near field; no sample of a thin one."""
+    near = near_field(xyz[np.isfinite(xyz).all(axis=1)])
+    stride = max(1, len(near) // SAMPLE) | 1
+    return (near[::stride], np.unique(voxel_codes(near))) if len(near) >= 200 else (None, np.zeros(0, np.int64))
+
+
+def within(codes: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which codes are among `ordered`, some in ascending order."""
+    return ordered[np.minimum(np.searchsorted(ordered, codes), len(ordered) - 1)] == codes
+
+
 def arc_motion(travel: float, curvature: float, chord: float = 10.5) -> tuple[float, float, float]:
     """(yaw, forward, lateral) after `travel`; see functions.scalar.travel_motion."""
     turn = curvature * travel
@@ -66,18 +78,19 @@ class EgoMotion:
         self.__init__()
 
     def update(self, xyz: np.ndarray, curvature: float = 0.0) -> dict:
-        near = near_field(xyz[np.isfinite(xyz).all(axis=1)])
+        return self.advance(*look(xyz), curvature)
+
+    def advance(self, sample: np.ndarray | None, occupied: np.ndarray, curvature: float = 0.0) -> dict:
+        """update() with what look() says of the frame."""
         before, measured = self.sample, False
-        stride = max(1, len(near) // SAMPLE) | 1
-        self.sample = near[::stride] if len(near) >= 200 else None
+        self.sample = sample
         if before is None or self.sample is None:
             self.coast += 1
             if self.coast > 30:
                 self.locked = False
             return self._row(curvature, False, self.travel if self.locked else 0.0)
-        occupied = np.unique(voxel_codes(near))
         steps = np.arange(-0.3, 4.5 + 1e-9, 0.05) if not self.locked else self.travel + np.arange(-0.45, 0.45 + 1e-9, 0.05)
-        score = np.array([np.isin(voxel_codes(carried(before, arc_motion(t, curvature))), occupied).mean() for t in steps])
+        score = np.array([within(voxel_codes(carried(before, arc_motion(t, curvature))), occupied).mean() for t in steps])
         raw = score
         if self.locked:
             raw = score - np.linspace(score[0], score[-1], len(score))
@@ -105,12 +118,12 @@ class EgoMotion:
         if self.travel >= 0.6:
             self.recent.clear()
             return
-        off = before[~np.isin(voxel_codes(before), occupied)]
+        off = before[~within(voxel_codes(before), occupied)]
         if len(off) < 300:
             self.recent.clear()
             return
         steps = np.arange(0.6, 4.5, 0.05)
-        score = [np.isin(voxel_codes(carried(off, arc_motion(t, curvature))), occupied).mean() for t in steps]
+        score = [within(voxel_codes(carried(off, arc_motion(t, curvature))), occupied).mean() for t in steps]
         self.recent.append(float(steps[int(np.argmax(score))]))
         m = float(np.median(self.recent))
         if len(self.recent) == 3 and max(abs(v - m) for v in self.recent) <= 0.2 and max(score) > 0.2:
@@ -385,6 +398,15 @@ def classify(local: np.ndarray, config: GaugeConfig, outer: float) -> str:
     return "borderline" if (gap <= outer + 1e-8).any() else "outside"
 
 
+def decisive(local: np.ndarray, config: GaugeConfig) -> np.ndarray:
+    """The returns that classify() decides by, whatever its outer margin: of distinct
+    ones at or above the rails, as many as it counts that are deepest inside."""
+    p = np.unique(np.asarray(local, float).reshape(-1, 3), axis=0)
+    p = p[p[:, 2] >= 0]
+    gap = np.maximum(np.abs(p[:, 1]) - config.half_width, p[:, 2] - config.height)
+    return p[np.argsort(gap, kind="stable")[: config.minimum]]
+
+
 @dataclass
 class Assessment:
     seen: deque = field(default_factory=lambda: deque(maxlen=3))

@@ -164,6 +164,28 @@ def test_a_corridor_is_cut_block_by_block(clear):
 def test_frames_are_not_one_group_of_the_jvm(spark, sf_dir):
     from corvia.plans import registry
 
-    for name in ("detect_obstacles", "proximity_components"):
+    for name in ("detect_obstacles", "proximity_components", "ego_motion"):
         plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "InPandas" not in plan
+
+
+def test_the_ordered_pass_gets_few_returns_of_a_group(spark, blocked):
+    from pyspark.sql import functions as F
+
+    from corvia.operators import frames
+    from corvia.plans import more
+    from corvia.streaming import processor, state
+
+    pdf = pd.concat(pd.DataFrame({"recording": "r", "frame_idx": k, "point_idx": np.arange(len(blocked)), "x": blocked[:, 0], "y": blocked[:, 1] + k, "z": blocked[:, 2] + 1.62}) for k in range(3))
+    pts = spark.createDataFrame(pdf, "recording string, frame_idx int, point_idx int, x double, y double, z double")
+    g = more.straight_geometry(pts)
+    stamps = spark.range(3).select(F.lit("r").alias("recording"), F.col("id").cast("int").alias("frame_idx"), F.lit("lidar").alias("frame_id"), (F.col("id") * 100_000_000).alias("timestamp_ns"))
+    motion = processor.ego_motion(pts).cache()
+    ego = state.EgoMotion()
+    want = [ego.update(p[list("xyz")].to_numpy())["travel_m"] for _, p in pdf.groupby("frame_idx")]
+    assert [r["travel_m"] for r in motion.orderBy("frame_idx").collect()] == want
+    every, few = (processor.frame_rows(stamps, motion, g, frames.detect_obstacles(pts, g, columns=c)) for c in (None, frames.BOXED))
+    assert max(len(o["points"]) for r in few.collect() for o in r["seen"]) <= 3
+    drop = "elapsed_ms"
+    a, b = (processor.process_batch(d).drop(drop).orderBy("frame_idx").collect() for d in (every, few))
+    assert a == b and any(r["tracks"] for r in a)

@@ -280,6 +280,23 @@ def test_filters_are_calm(kind):
     assert flt.update(None, (0.0, 0.0, 0.0)) is None
 
 
+def test_decisive_returns_classify_as_all_do():
+    rng = np.random.default_rng(8)
+    config = state.GaugeConfig()
+    for _ in range(300):
+        p = rng.uniform((0, -2, -0.5), (4, 2, 3), (rng.integers(0, 12), 3)).round(1)
+        few = state.decisive(p, config)
+        assert len(few) <= config.minimum
+        for outer in (0.0, 0.1, 0.3):
+            assert state.classify(few, config, outer) == state.classify(p, config, outer)
+
+
+def test_codes_are_found():
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(-50, 50, 200), np.unique(rng.integers(-40, 40, 30))
+    assert state.within(a, b).tolist() == np.isin(a, b).tolist()
+
+
 def test_faces_and_lines():
     d, z = np.meshgrid(np.arange(-0.5, 0.51, 0.05), np.arange(0.1, 0.9, 0.1))
     face = np.column_stack((np.full(d.size, 20.0), d.ravel(), z.ravel()))
