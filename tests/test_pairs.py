@@ -38,7 +38,7 @@ def grid(a, b):
     return (ds * ds + dd * dd <= 9) & ((a["offset"] * b["offset"] > 0) | ((np.abs(a["offset"]) < 0.6) & (np.abs(b["offset"]) < 0.6) & (np.abs(dd) < 0.5)))
 
 
-@pytest.mark.parametrize("find, near", [(J.band_edges, band)])
+@pytest.mark.parametrize("find, near", [(J.band_edges, band), (J.grid_edges, grid)])
 def test_pairs_against_all_pairs(spark, find, near):
     p = cloud(900)
     got = [tuple(r)[1:] for r in find(spark.createDataFrame(p, POINT)).collect()]
@@ -72,6 +72,6 @@ def test_work_follows_the_pairs(spark, monkeypatch):
 
 
 def test_pairs_are_not_joined_by_station_alone(spark, sf_dir):
-    for name in ("band_edges",):
+    for name in ("band_edges", "grid_edges"):
         plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "Join" not in plan
