@@ -89,7 +89,7 @@ class ChunkCache:
                 self._append(part, *self.encode_joined(part))
             if single:
                 self._append(single, *self.encode_single(single))
-            codes = np.fromiter((get(w) for w in distinct), np.int64, len(distinct))
+            codes[codes < 0] = np.fromiter((get(w) for w in missing), np.int64, len(missing))
         self.seen[codes] += 1
         at = codes[coded.indices.to_numpy(zero_copy_only=False)]
         counts = self.count[at]
@@ -198,19 +198,34 @@ class ByteLevelEncoder(Encoder):
 class WordEndEncoder(Encoder):
     """BPE with word ends, which drops white space: chunks are the runs between
     spaces and newlines. SEPARATOR stands between chunks that are encoded at
-    once; chunks that contain it are encoded by themselves."""
+    once; chunks that contain it are encoded by themselves.
+
+    Where the vocabulary ends a word between a letter and a mark, a chunk ends there,
+    too; where it ignores case, chunks are in lower case, so that there are fewer.
+    Texts with combining marks, which lower-case letters may join otherwise, or with
+    what begins a control string keep their case."""
 
     SEPARATOR = "|"
+    MARK = r"([A-Za-z])([.,;:!?])([ \n]|$)"
+    CASED = r"[\x{300}-\x{36f}]|<\|"
 
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
         (self.sep,) = self.tok.encode(self.SEPARATOR, add_special_tokens=False).ids
+        self.caseless = self.tok.normalizer is not None and self.tok.normalizer.normalize_str("AZ") == "az"
+        self.marks_apart = self.tok.pre_tokenizer is not None and all([s for s, _ in self.tok.pre_tokenizer.pre_tokenize_str(w + m)] == [w, m] for w in ("ab", "z") for m in ".,;:!?")
         super().__init__()
 
     def odd(self, texts):
         return np.zeros(len(texts), bool)  # any white space inside a chunk is the library's affair
 
     def chunks(self, texts):
+        if self.caseless:
+            cased = pc.match_substring_regex(texts, self.CASED)
+            lower = pc.ascii_lower(texts)
+            texts = pc.if_else(cased, texts, lower) if pc.any(cased).as_py() else lower
+        if self.marks_apart:
+            texts = pc.replace_substring_regex(texts, self.MARK, r"\1 \2\3")
         return _split(pc.replace_substring(texts, "\n", " "), " ")
 
     def encode_whole(self, text):

@@ -279,3 +279,20 @@ def test_piece_digests(spark, odd_docs, no_docs, encoders):
     assert sentence_pieces.digests(no_docs, path).count() == 0
     both = sentence_pieces.decode(sentence_pieces.encode(odd_docs, path), path).collect()
     assert {r["text"] for r in both} >= {"negative id", "same text here for all of them", ""}
+
+
+def test_word_ends_at_marks_and_in_any_case_are_the_library_s():
+    """Chunks that end before a mark or are in lower case have the ids of whole texts, and there are fewer."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    texts = ["The End.", "the end. The END, the end!\nThe end?", "A. b, C; d: E! f?", "it's, IT'S. it'S!", "x... y.. z.,", "W̊ ẘ. J̌, ǰ", "İ. İ. ΣΣ. aΣ. ",
+             "<|ENDOFTEXT|>. <|endoftext|>. a<|endoftext|>, A.<|startoftext|> B.", "9. a9. 9a, é. É, é.", "a.\tb. c. D. e.　", ".", " . a .", "a. ́b", "Z.\n\n. ", "", "KK. ﬁ. ǅ, aͅ."]
+    lib = Tokenizer.from_file(path)
+    enc = WordEndEncoder(path)
+    ids, bounds = enc.encode_texts(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == lib.encode(text, add_special_tokens=False).ids, text
+    few = WordEndEncoder(path)
+    few.encode_texts(pa.array(["The end. the END, the end! THE end"]))
+    assert set(few.cache.code) == {"the", "end", ".", ",", "!"}
