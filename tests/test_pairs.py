@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from corvia.functions import pairs
+from corvia.operators import frames
 from corvia.operators import joins as J
 from corvia.plans import registry
 
@@ -75,3 +77,48 @@ def test_pairs_are_not_joined_by_station_alone(spark, sf_dir):
     for name in ("band_edges", "grid_edges"):
         plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "Join" not in plan
+
+
+def exchanged(df):
+    """(rows, bytes) that each shuffle of a plan has written."""
+    df.write.format("noop").mode("overwrite").save()
+    spark = df.sparkSession
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last()
+    metrics, found = store.executionMetrics(last.executionId()), []
+    nodes = store.planGraph(last.executionId()).allNodes()
+    for k in range(nodes.size()):
+        if nodes.apply(k).name() == "Exchange":
+            of = nodes.apply(k).metrics()
+            ids = {of.apply(m).name(): of.apply(m).accumulatorId() for m in range(of.size())}
+            found.append([metrics.get(ids[n]).get() for n in ("shuffle records written", "shuffle bytes written")])
+    return found
+
+
+@pytest.mark.parametrize("find, most", [(J.band_edges, 16), (J.grid_edges, 8)])
+def test_points_are_shuffled_in_few_bytes(spark, find, most):
+    """27 and more bytes a point when rows were shuffled."""
+    n = 60000
+    rng = np.random.default_rng(3)
+    p = pd.DataFrame({"recording": "r", "frame_idx": np.zeros(n, "int32"), "point_idx": np.arange(n, dtype="int32")})
+    p["station"], p["offset"], p["height"] = rng.integers(0, 8000, n) / 100, rng.integers(-200, 201, n) / 100, rng.integers(-100, 200, n) / 100
+    p["range_m"] = np.sqrt(p.station**2 + p.offset**2 + p.height**2)
+    points = spark.createDataFrame(p, POINT).coalesce(1)
+    (rows, size), *more = exchanged(find(points))
+    units = {"B": 1, "KiB": 1024, "MiB": 1024**2}
+    number, unit = size.split("\n")[-1].split(" (")[0].split()[:2]
+    assert not more and int(rows.replace(",", "")) < 200
+    assert float(number) * units[unit] < most * n
+
+
+def test_packed_lots_hold_every_value(spark):
+    odd = [0.0, -0.0, float("nan"), float("inf"), -float("inf"), 1e-300, 0.1]
+    rows = [(r, f, b, i, odd[(i * 5 + b) % len(odd)], i * 0.37, i % 3 == 0) for r in ("r", "s") for f in (0, 1) for b in (-2, 7) for i in range(50)]
+    np.random.default_rng(2).shuffle(rows)
+    df = spark.createDataFrame([(r, int(f), int(b), int(i), float(x), float(y), bool(o)) for r, f, b, i, x, y, o in rows], "recording string, frame_idx int, block long, i int, x double, y double, o boolean")
+    got = []
+    for lot in frames.packed(df, ["i", "x", "y", "o"], "block", most=64).collect():
+        for b in frames.unpacked([pa.RecordBatch.from_pydict({"lot": [bytes(lot.lot)]})]):
+            got += [(lot.recording, lot.frame_idx, lot.block, *v.values()) for v in b.to_pylist()]
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in df.collect())
+    assert frames.packed(df.limit(0), ["i", "x", "y", "o"], "block").count() == 0
